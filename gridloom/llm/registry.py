@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, media, pii, warc
+from gridloom.llm import bpe, chat, media, mixing, pii, rules, warc
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_warc": warc.op2_warc,
+    "op3_mixing": mixing.op3_mixing,
     "op7_media": media.op7_media,
+    "op8_rules": rules.op8_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
 }
 SQL: dict[str, str] = {
+    "op1_chat": chat.SQL,
     "op2_warc": warc.SQL,
+    "op3_mixing": mixing.SQL,
+    "op8_rules": rules.SQL,
 }
 
 
