@@ -254,9 +254,10 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
     return df.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"`{into}` string"]))
 
 
-def digests(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def digests(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, the number of ids, and digests of ids and decoded text."""
     return df.select(
-        key,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

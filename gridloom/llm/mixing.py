@@ -104,10 +104,11 @@ def _with(rows: DataFrame, of: DataFrame, *names: str, own: str = "", how: str =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the plan takes it. Rows must have distinct doc_id."""
-    copies = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    names = docs.columns
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[f"`{n}`"] for n in names])
+    """The documents with all their columns, each as often as the plan takes it."""
+    # Rows with equal doc_id and source have equal places, so equal copies.
+    copies = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[f"`{n}`"] for n in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

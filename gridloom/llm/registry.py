@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, chat, media, mixing, pii, rules, warc
+import corpus_pipeline
+from gridloom.llm import bpe, chat, langid, media, mixing, neardup, pii, quality, rules, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
+    "op5_minhash": neardup.op5_minhash,
+    "op6_langid": langid.op6_langid,
     "op7_media": media.op7_media,
     "op8_rules": rules.op8_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op1_chat": chat.SQL,
