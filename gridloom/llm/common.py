@@ -54,6 +54,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; rows of fold 2 are held out. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, cut, table
+from gridloom.llm.common import WORD, cut, fresh, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS, SEED, DIGITS = 1.5, 2, "mix", 3  # 16 ** DIGITS slices of a source's order
@@ -106,9 +106,10 @@ def _with(rows: DataFrame, of: DataFrame, *names: str, own: str = "", how: str =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents with all their columns, each as often as the plan takes it."""
     # Rows with equal doc_id and source have equal places, so equal copies.
-    copies = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[f"`{n}`"] for n in docs.columns])
+    key, source, copies, copy = (fresh(docs, n) for n in ("_id", "_source", "_copies", "_copy"))
+    wanted = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("copies").alias(copies)).distinct()
+    taken = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col(key)) & docs["source"].cast("string").eqNullSafe(F.col(source)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, source, copies, copy)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
