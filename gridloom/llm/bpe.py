@@ -34,7 +34,7 @@ MASK = (1 << SHIFT) - 1
 NEVER = 1 << 62
 WINDOW = 1024  # bytes of a piece that are merged at once, besides the lookahead
 CHUNK = 1 << 16  # characters of a text that are split into pieces at once
-CACHE = 150_000  # pieces kept in each of two generations
+CACHE = 50_000  # pieces kept in each of two generations
 
 # The pre-tokenizer's pattern, and white space as that pattern means it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,8 +221,8 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", keep: tuple[str
     def run(batches):
         encoder = Encoder(vocabulary(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 ids = [encoder.encode(x) for x in part.column(0).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Java regular expression of one word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 500  # rows of an Arrow batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package where it isn't installed: same path as on the driver."""
+    """Let Python workers import this package where it isn't installed, and keep their batches small.
+
+    Rows hold whole texts, so a batch of Spark's usual 10,000 rows would take too much memory on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

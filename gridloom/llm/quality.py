@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut, fold, ready, table
 
 ROWS, VOCABULARY, SIZE, DARTS, REACH = 4_000, 8_192, 48, 6, 2
+BLOCK = 4_096  # words whose neighbours are summed at once
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-4
 THRESHOLD = 0.7
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,7 +77,7 @@ class Vectors:
         if (found := self.seen.get(word)) is None:
             own = self.rows.get(word.lower()) if word[:1].islower() or word[1:].islower() else None
             found = own if own is not None else self.rows.get(shape(word), 0)
-            if len(self.seen) >= 200_000:
+            if len(self.seen) >= 50_000:
                 self.seen.clear()
             self.seen[word] = found
         return found
@@ -126,17 +127,21 @@ def vectors(sample: DataFrame, text: str = "text") -> Vectors:
                 codes = {u: n for n, u in enumerate({*units, *shapes})}
                 table_ = np.stack([vector(u) for u in codes])
                 u, s = np.array([codes[x] for x in units]), np.array([codes[x] for x in shapes])
-                around = np.zeros((len(ws), SIZE), np.int64)
-                for step in range(1, REACH + 1):
-                    around[step:] += table_[u[:-step]]
-                    around[:-step] += table_[u[step:]]
-                own = table_[u] + table_[s]
                 local = np.zeros((len(codes), SIZE), np.int64)
-                np.add.at(local, u, around + own)
-                np.add.at(local, s[s != u], (around + own)[s != u])
+                for at in range(0, len(ws), BLOCK):
+                    left, end = max(0, at - REACH), min(len(ws), at + BLOCK)
+                    near = table_[u[left : end + REACH]]
+                    total = table_[u[at:end]] + table_[s[at:end]]
+                    for step in range(-REACH, REACH + 1):
+                        lo, hi = max(0, at + step), min(len(ws), end + step)
+                        if step and lo < hi:
+                            total[lo - step - at : hi - step - at] += near[lo - left : hi - left]
+                    np.add.at(local, u[at:end], total)
+                    apart = s[at:end] != u[at:end]
+                    np.add.at(local, s[at:end][apart], total[apart])
                 for name, n in codes.items():
                     if local[n].any():
-                        sums[name] = sums[name] + local[n] if name in sums else local[n]
+                        sums[name] = sums[name] + local[n] if name in sums else local[n].copy()
         keys = list(sums)
         for at in range(0, len(keys), 2000):
             part = keys[at : at + 2000]
