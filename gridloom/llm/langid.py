@@ -30,6 +30,7 @@ from gridloom.llm.common import cut, fold, ready, table
 
 BUCKETS, ROWS, BITS, STEPS, RATE, MARGIN = 1 << 12, 400, 31, 150, 0.05, 0.5
 BLOCK = 1 << 18  # characters read at once
+SALTS = 256  # parts of a language among which the sample is first sought
 
 
 def grams(text: str | None) -> np.ndarray | None:
@@ -129,11 +130,11 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     ready(docs.sparkSession)
     own = docs.select(F.col("`doc_id`").cast("string").alias("doc_id"), F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
     place = F.crc32(F.concat(F.lit("langid:"), F.coalesce("doc_id", F.lit("")))) / F.lit(2.0**32)
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # Twice the wanted share of each language, so that the ranking below sees few rows of a common one.
-    ids = own.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("n") < 2 * rows)
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("r") <= rows)
-    chosen = cut(ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
+    # The first of each of SALTS parts of a language, then the first of these: a common language isn't one task's.
+    ids = own.select("doc_id", "lang", place.alias("place"), (F.crc32(F.concat(F.lit("salt:"), F.coalesce("doc_id", F.lit("")))) % SALTS).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))).where(F.col("r") <= rows)
+    chosen = cut(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
     # The sample's size is bounded by rows and the number of languages.
     sample = own.join(F.broadcast(chosen), own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
