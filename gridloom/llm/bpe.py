@@ -34,7 +34,7 @@ MASK = (1 << SHIFT) - 1
 NEVER = 1 << 62
 WINDOW = 1024  # bytes of a piece that are merged at once, besides the lookahead
 CHUNK = 1 << 16  # characters of a text that are split into pieces at once
-CACHE = 50_000  # pieces kept in each of two generations
+CACHE = 150_000  # pieces of at most 64 bytes that a worker keeps in each of two generations
 
 # The pre-tokenizer's pattern, and white space as that pattern means it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,21 +44,14 @@ PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
 @lru_cache(1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, regex.Pattern, re.Pattern]:
+def _patterns() -> tuple[frozenset[str], re.Pattern, regex.Pattern, re.Pattern]:
     """Odd characters, pieces of texts without them, pieces of any text, places where a text may be cut."""
     numbers = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
     letters = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isdecimal()]
     marks = [c for c in range(sys.maxunicode + 1) if (chr(c).isalnum() or chr(c) == "_") != (unicodedata.category(chr(c))[0] in "LN" or chr(c) == "_")]
-    odd = sorted({*numbers, *letters, *marks, *range(0x1C, 0x20)})
-    runs: list[list[int]] = []
-    for c in odd:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    klass = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+    odd = frozenset(map(chr, {*numbers, *letters, *marks, *range(0x1C, 0x20)}))
     exact = PIECES.replace(r"[^\s\p{L}", rf"[^{SPACE}\p{{L}}").replace(r"\s+(?!\S)|\s+", rf"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    return re.compile(f"[{klass}]"), re.compile(PLAIN), regex.compile(exact), re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+    return odd, re.compile(PLAIN), regex.compile(exact), re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -112,17 +105,13 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a short piece: the best pair is merged, leftmost first, until none is left."""
-        ids = [self.of_byte[b] for b in piece]
+        ids = list(map(self.of_byte.__getitem__, piece))
         get = self.rank.get
         ranks = [get(a << SHIFT | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
+        while ranks and (best := min(ranks)) != NEVER:
             at = ranks.index(best)
-            new = best & MASK
-            ids[at : at + 2] = [new]
-            del ranks[at]
+            ids[at] = new = best & MASK
+            del ids[at + 1], ranks[at]
             if at:
                 ranks[at - 1] = get(ids[at - 1] << SHIFT | new, NEVER)
             if at < len(ranks):
@@ -143,40 +132,42 @@ class Vocabulary:
         yield self.merge(piece[start:])
 
 
-class Encoder:
-    """Encodes texts one after another; keeps recent pieces in two bounded generations."""
+class Pieces(dict):
+    """Ids, as int32 bytes, by piece; a piece that isn't kept yet is encoded when it is asked for."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary, before: dict[str, bytes]):
+        super().__init__()
+        self.vocabulary, self.before = vocabulary, before
 
-    def _miss(self, piece: str) -> bytes:
-        found = self.old.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
         if found is None:
             raw = piece.encode()
             if len(raw) > 64:  # long pieces are rare and would fill the cache
                 return b"".join(np.asarray(x, np.int32).tobytes() for x in self.vocabulary.stream(raw))
             found = np.asarray(self.vocabulary.merge(raw), np.int32).tobytes()
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[piece] = found
+        if len(self) < CACHE:
+            self[piece] = found
         return found
 
+
+class Encoder:
+    """Encodes texts one after another; keeps recent pieces in two bounded generations."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.pieces = Pieces(vocabulary, {})
+
     def _plain(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a text in which no special string stands."""
         odd, plain, exact, place = _patterns()
-        find, miss, out, start = (exact if odd.search(text) else plain).findall, self._miss, [], 0
+        find, out, start = (plain if odd.isdisjoint(text) else exact).findall, [], 0
         while start < len(text):
+            if len(self.pieces) >= CACHE:
+                self.pieces = Pieces(self.vocabulary, dict(self.pieces))
             cut = place.search(text, start + CHUNK)
             end = cut.start() if cut else len(text)
-            get = self.new.get
-            ids = []
-            for piece in find(text[start:end]):
-                ids.append(get(piece) or miss(piece))
-                if self.new.get is not get and get.__self__ is not self.new:
-                    get = self.new.get
-            out.append(b"".join(ids))
+            out.append(b"".join(map(self.pieces.__getitem__, find(text[start:end]))))
             start = end
         return b"".join(out)
 
@@ -207,6 +198,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker: later tasks find the pieces of earlier ones."""
+    return Encoder(vocabulary(path))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -219,7 +216,7 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", keep: tuple[str
     path = path or default_path()
 
     def run(batches):
-        encoder = Encoder(vocabulary(path))
+        encoder = _encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
