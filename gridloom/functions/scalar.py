@@ -36,6 +36,16 @@ def floored_mod(x: Column, y: Column) -> Column:
     return F.when(y != 0, x - y * F.floor(F.try_divide(x, y)))
 
 
+def truncated_mod(x: Column, y: Column) -> Column:
+    """Remainder with the sign of the dividend; null for divisor 0."""
+    return F.try_mod(x, y)
+
+
+def euclidean_mod(x: Column, y: Column) -> Column:
+    """Remainder that is never negative; null for divisor 0."""
+    return F.when(y != 0, x - F.abs(y) * F.floor(F.try_divide(x, F.abs(y))))
+
+
 def sign(x: Column) -> Column:
     return F.when(x > 0, 1).when(x < 0, -1).otherwise(0)
 
@@ -108,6 +118,46 @@ def transpose(m: list[Column]) -> list[Column]:
     return [m[3 * c + r] for r in range(3) for c in range(3)]
 
 
+def cofactors(m: list[Column]) -> list[Column]:
+    """Of a 3 x 3 matrix; its transpose is the adjoint."""
+
+    def minor(r: int, c: int) -> Column:
+        (a, b), (d, e) = [x for x in range(3) if x != r], [x for x in range(3) if x != c]
+        return m[3 * a + d] * m[3 * b + e] - m[3 * a + e] * m[3 * b + d]
+
+    return [minor(r, c) if (r + c) % 2 == 0 else -minor(r, c) for r in range(3) for c in range(3)]
+
+
+def inverse(m: list[Column]) -> list[Column]:
+    """Adjoint over determinant; a singular matrix stays as it is."""
+    whole = determinant(m)
+    return [F.when(whole == 0, own).otherwise(F.try_divide(x, whole)) for own, x in zip(m, transpose(cofactors(m)))]
+
+
+def ordered(v: tuple[Column, ...]) -> list[Column]:
+    """Parts of a vector in ascending order."""
+    parts = F.array_sort(F.array(*v))
+    return [F.get(parts, n) for n in range(len(v))]
+
+
+def order(v: tuple[Column, ...]) -> list[Column]:
+    """Numbers of a vector's parts in ascending order of their values, ties by number."""
+    parts = F.array_sort(F.array(*[F.struct(x.alias("x"), F.lit(n).alias("n")) for n, x in enumerate(v)]))
+    return [F.get(parts, n)["n"] for n in range(len(v))]
+
+
+def leaf_offset(i: Column, j: Column, k: Column, bits: int = 3) -> Column:
+    """Place of a voxel in its leaf's table, k fastest; negative coordinates too."""
+    low = (1 << bits) - 1
+    return F.shiftleft(i.bitwiseAND(low), 2 * bits).bitwiseOR(F.shiftleft(j.bitwiseAND(low), bits)).bitwiseOR(k.bitwiseAND(low))
+
+
+def offset_coordinates(offset: Column, bits: int = 3) -> tuple[Column, Column, Column]:
+    """The place in a leaf that a number of its table stands for."""
+    low = (1 << bits) - 1
+    return F.shiftright(offset, 2 * bits), F.shiftright(offset, bits).bitwiseAND(low), offset.bitwiseAND(low)
+
+
 def trace(m: list[Column]) -> Column:
     return m[0] + m[4] + m[8]
 

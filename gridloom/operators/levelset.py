@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import IJK, Grid
 from gridloom.operators.sample import trilinear
-from gridloom.operators.stencil import FACES, gather, mean_curvature, name, norm
+from gridloom.operators.stencil import FACES, gather, mean_curvature, name, norm, upwind_slope
 from gridloom.operators.tree import _written
 
 
@@ -117,3 +117,36 @@ def first_hits(g: Grid, along: int = 2) -> DataFrame:
 def steepness(g: Grid) -> DataFrame:
     """Mean of |gradient| and its largest departure from 1: how far a level set is from a distance."""
     return norm(g).df.agg(F.avg("value").alias("mean"), F.max(F.abs(F.col("value") - 1)).alias("most"))
+
+
+def normalised(g: Grid, steps: int = 1, rate: float = 0.3) -> Grid:
+    """Steps towards slope 1 that leave the surface where it is: a level set becomes a distance again."""
+    for n in range(1, steps + 1):
+        v = F.col("value")
+        moved = v - v / F.sqrt(v * v + 1.0) * (upwind_slope(v > 0) - 1.0) * rate
+        g = g.with_df(gather(g, FACES).withColumn("value", moved).unionByName(g.df.where("not active"), allowMissingColumns=True))
+        if n % 4 == 0:
+            g = g.with_df(_written(g.df))
+    return g
+
+
+def morphed(g: Grid, target: Grid, rate: float = 0.3) -> Grid:
+    """One step of a level set towards another: the surface moves along its normal by the target's value."""
+    d = gather(g, FACES).join(target.df.select(*IJK, F.col("value").alias("speed")), list(IJK), "left")
+    d = d.withColumn("speed", F.coalesce("speed", F.lit(target.background)))
+    return g.with_df(d.withColumn("value", F.col("value") - F.col("speed") * upwind_slope(F.col("speed") > 0) * rate))
+
+
+def particles(points: DataFrame, radius: Column, half: float = 3.0) -> Grid:
+    """Narrow band of the union of spheres around points (px, py, pz).
+
+    A point's rows are bounded by its radius; the nearest sphere of a voxel is found by a minimum, before the shuffle too.
+    """
+    rows = points.select("px", "py", "pz", radius.cast("double").alias("r"))
+    for c, p in zip(IJK, ("px", "py", "pz")):
+        reach = F.col("r") + half
+        rows = rows.withColumn(c, F.explode(F.sequence(F.ceil(F.col(p) - reach).cast("int"), F.floor(F.col(p) + reach).cast("int"))))
+    d = [F.col(c) - F.col(p) for c, p in zip(IJK, ("px", "py", "pz"))]
+    away = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) - F.col("r")
+    nearest = rows.groupBy(*IJK).agg(F.min(away).alias("value"))
+    return Grid(nearest.where(F.abs("value") < half).withColumn("active", F.lit(True)), half)

@@ -138,6 +138,12 @@ def closest(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
     return best.select("id", F.col("b")["other"].alias("other"), F.col("b")["distance"].alias("distance"))
 
 
+def nearest(points: DataFrame, queries: DataFrame, radius: float, n: int) -> DataFrame:
+    """(id, other, distance, place): the n nearest points within a radius, ties by id."""
+    order = Window.partitionBy("id").orderBy("distance", "other")
+    return within(points, queries, radius).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def moved(points: DataFrame, by: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({p: F.col(p) + d for p, d in zip(P, by)})
 

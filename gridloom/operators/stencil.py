@@ -102,18 +102,20 @@ def closest_point(g: Grid, size: float = 1.0) -> DataFrame:
     return d.select(*IJK, *[(F.col(c) * size - F.col("value") * _central(n, size=size)).alias(x) for n, (c, x) in enumerate(zip(IJK, "xyz"))])
 
 
-def upwind_norm(g: Grid, size: float = 1.0) -> Grid:
-    """Godunov's norm of the gradient, with one-sided differences away from the surface."""
-    d = gather(g, FACES)
-    total = F.lit(0.0)
-    outside = F.col("value") > 0
+def upwind_slope(outside: Column, size: float = 1.0) -> Column:
+    """Godunov's norm of the gradient over gathered faces, from the side that information comes from."""
+    total, zero = F.lit(0.0), F.lit(0.0)
     for n in range(3):
         back, ahead = (F.col("value") - F.col(name(axis(n, -1)))) / size, (F.col(name(axis(n))) - F.col("value")) / size
-        zero = F.lit(0.0)
         plus = F.greatest(F.pow(F.greatest(back, zero), F.lit(2.0)), F.pow(F.least(ahead, zero), F.lit(2.0)))
         minus = F.greatest(F.pow(F.least(back, zero), F.lit(2.0)), F.pow(F.greatest(ahead, zero), F.lit(2.0)))
         total = total + F.when(outside, plus).otherwise(minus)
-    return g.with_df(d.withColumn("value", F.sqrt(total)))
+    return F.sqrt(total)
+
+
+def upwind_norm(g: Grid, size: float = 1.0) -> Grid:
+    """Godunov's norm of the gradient, with one-sided differences away from the surface."""
+    return g.with_df(gather(g, FACES).withColumn("value", upwind_slope(F.col("value") > 0, size)))
 
 
 def _keep_off(g: Grid, on: DataFrame) -> Grid:
@@ -187,3 +189,9 @@ def surface_mask(g: Grid, iso: float = 0.0) -> Grid:
     inside = F.col("value") < iso
     crosses = reduce(Column.__or__, [(F.col(name(o)) < iso) != inside for o in FACES])
     return Grid(d.where(crosses).select(*IJK, F.lit(1.0).alias("value"), "active"), 0.0)
+
+
+def one_sided(g: Grid, step: int, size: float = 1.0) -> DataFrame:
+    """(i, j, k, gx, gy, gz) by differences to the next (step 1) or the last (step -1) voxel."""
+    d = gather(g, [axis(n, step) for n in range(3)])
+    return d.select(*IJK, *[((F.col(name(axis(n, step))) - F.col("value")) * step / size).alias(c) for n, c in enumerate(("gx", "gy", "gz"))])

@@ -10,6 +10,7 @@ SOME = [
     "flagship", "tools_comp_div", "tools_csg_difference", "tree_topology_union", "tools_merge_first", "tools_clip_mask", "tree_fill", "tools_deactivate", "tools_gradient_inactive_neighbours", "tools_mean_curvature", "tools_curl", "tools_filter_mean", "tools_dilate_18", "tools_erode_26",
     "tools_statistics", "nano_grid_stats", "tools_level_set_measure", "tools_box_sampler", "tools_quadratic_sampler", "tools_prune", "tree_voxelize", "tools_multires_restrict", "tools_multires_prolong", "tools_segmentation", "tools_signed_flood_fill", "tools_poisson_solve", "tools_fast_sweeping",
     "points_offsets", "points_level_set_filter", "points_rasterize_mean", "points_radius_search", "points_closest", "ax_scalar_functions", "ax_matrix_functions", "ax_colour_round_trip", "stream_windowed_voxels",
+    "math_ray_voxels", "math_ray_hits", "math_ray_integral", "tools_active_runs", "tools_grid_transform", "tools_level_set_normalise", "tools_level_set_morph", "tools_particles_to_level_set", "math_gradient_forward", "points_nearest", "ax_modulo_functions", "ax_matrix_inverse", "ax_sort_functions", "ax_leaf_offsets",
 ]
 
 
