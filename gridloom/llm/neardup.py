@@ -7,11 +7,12 @@ the signature. theta is set so that some K ln K + 2 K darts count, and doubled w
 agree in a coordinate with the probability of their weighted Jaccard similarity. Production gives every shingle weight 1.
 
 Texts with equal shingle sets are one node, brought together by a sum of keys, not by comparing. Nodes meet in ``BANDS``
-bands of K / BANDS coordinates: pairs as similar as 0.8 miss each other in all bands once in ten million. In a bucket a
-node is paired with the centre of the bucket and with the ``NEAR`` before it; buckets of more than ``LARGE`` nodes
-are split by a further coordinate, on which similar texts mostly agree. So pairs grow with nodes, not with the square
-of a bucket, and all pairs of small buckets are made. Signatures settle clear pairs; the others are compared by their
-whole shingle sets. Classes are the connected components of the links.
+bands of K / BANDS coordinates: pairs as similar as 0.8 miss each other in all bands once in ten million. First each node
+of a bucket is paired with the bucket's centre, and the links found make first classes. Then all pairs of a bucket whose
+nodes are in different classes are made, in tiles of some ``TILE`` nodes, so that no task holds a bucket. A hot text's
+variants are one class by then and cost no pairs; a bucket of many texts of as many classes costs all its pairs.
+Signatures settle clear pairs; the others are compared by their whole shingle sets. Classes are the connected
+components of the links.
 
 Defined results: class_id is the smallest doc_id of a class; null, empty and wordless texts are linked to nothing; rows
 that share a doc_id are one document; rows with null doc_id come back with null class_id; repeated rows come back
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, fresh, ready, table
@@ -35,7 +36,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 4
 K = BANDS * ROWS
 SURE, HOPELESS = 0.93, 0.62  # shares of equal coordinates that settle a pair: 3.6 and 4.9 deviations from 0.8
-NEAR, LARGE = 4, 256
+TILE = 512  # nodes of a bucket that a task compares with as many others
 SENT = 2_000_000  # ids of 8 bytes that may be broadcast
 BLOCK = 1 << 20  # bytes of a text hashed at once
 U = np.uint64
@@ -161,35 +162,103 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes (id, sig) that share a band: with the bucket's centre, and with those near in it.
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(id, band, value, size): the buckets of at least two nodes (id, sig). A value is a hash of a band's number and coordinates."""
+    value = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, *[F.get("sig", b * ROWS + n) for n in range(ROWS)]).alias("value")))
+    rows = nodes.select("id", F.inline(value))
+    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, "value").select("id", "band", "value", "size")
+
+
+def central(met: DataFrame) -> DataFrame:
+    """Pairs a < b of each node of a bucket with the bucket's centre.
 
     The centre of a bucket is the node whose buckets are largest in sum: the text that most others are variants of
     is in the largest bucket of every band, while each variant leaves some. So a star of variants keeps all its
     links, also where the variants aren't similar to each other.
     """
-    # A band's value is a hash of its number and coordinates; the coordinate after them splits and orders its bucket.
-    value = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(F.xxhash64(b, *[F.get("sig", b * ROWS + n) for n in range(ROWS)]).alias("value"), F.get("sig", (b * ROWS + ROWS) % K).alias("next")))
-    rows = nodes.select("id", F.inline(value))
-    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(rows.join(sizes, "value"))
     fame = met.groupBy("id").agg(F.sum("size").alias("fame"))
-    met = met.join(fame, "id")
-    centres = met.groupBy("value").agg(F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("top"))
-    split = F.when(F.col("size") > LARGE, F.pmod(F.xxhash64("next"), F.ceil(F.col("size") / LARGE))).otherwise(0)
-    near = Window.partitionBy("value", "split").orderBy("next", F.desc("fame"), "id")
-    others = F.array(*[F.lag("id", n).over(near) for n in range(1, NEAR + 1)])
-    pairs = met.withColumn("split", split).select("id", F.array_compact(others).alias("others")).select("id", F.explode("others").alias("other"))
-    pairs = pairs.unionByName(met.join(centres, "value").select("id", (-F.col("top")["id"]).alias("other"))).where("id <> other")
+    centres = met.join(fame, "id").groupBy("value").agg(F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("top"))
+    pairs = met.join(centres, "value").select("id", (-F.col("top")["id"]).alias("other")).where("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Candidate pairs whose shingle sets are similar."""
-    pairs = candidates(nodes)
-    sides = [nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-    judged = cut(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (equal / K).alias("share")).where(F.col("share") >= HOPELESS))
+def _compared(own: np.ndarray, low: int, high: int, band: int, ids: np.ndarray, classes_: np.ndarray, sigs: np.ndarray):
+    """(a, b, share) of the pairs of tiles low and high that aren't hopeless, have two classes, and meet in no earlier band."""
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    for n, at in enumerate(left):
+        others = right[n + 1 :] if low == high else right
+        others = others[classes_[others] != classes_[at]]
+        equal = sigs[others] == sigs[at]
+        share = np.count_nonzero(equal, axis=1) / K
+        good = np.flatnonzero(share >= HOPELESS)
+        good = good[equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(good):
+            a = np.full(len(good), ids[at])
+            b = ids[others[good]]
+            yield np.minimum(a, b), np.maximum(a, b), share[good]
+
+
+def crossing(met: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, share) of all pairs of a bucket's nodes that are in different classes and not hopeless.
+
+    A bucket's largest class is apart from its other nodes: its tiles meet those of the others, but not each other.
+    """
+    held = met.where("size > 2").join(named, "id", "left").select("id", "band", "value", F.coalesce("component", "id").alias("class"))
+    counts = held.groupBy("value", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("value").agg(F.sum("n").alias("size"), F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    single = F.col("size") <= TILE
+    few, most = F.when(single, 1).otherwise(F.ceil((F.col("size") - F.col("top")["n"]) / TILE)), F.when(single, 0).otherwise(F.ceil(F.col("top")["n"] / TILE))
+    mixed = mixed.select("value", F.col("top")["class"].alias("top"), few.cast("long").alias("few"), most.cast("long").alias("most"))
+    in_top = (F.col("class") == F.col("top")) & (F.col("most") > 0)
+    own = F.when(in_top, F.col("few") + F.pmod(F.xxhash64("id"), F.greatest("most", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "few"))
+    last = F.when(in_top, F.col("few")).otherwise(F.col("few") + F.col("most")) - 1
+    rows = held.join(mixed, "value").select("id", "class", "band", "value", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    rows = rows.select("id", "class", "band", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    key = ["value", "low", "high"]
+    rows = rows.join(nodes.select("id", "sig"), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def parts(batch, final):
+        """Pairs of the batch's tiles, without its last ones unless it is final; where those begin."""
+        named_ = {c: batch.column(c).to_numpy() for c in ("id", "class", "band", "own", *key)}
+        sigs = batch.column("sig").flatten().to_numpy().reshape(-1, K)
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in key:
+            new |= np.diff(named_[c]) != 0
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), *([batch.num_rows] if final else [])]
+        found = []
+        for s, e in zip(edges, edges[1:]):
+            found += _compared(named_["own"][s:e], named_["low"][s], named_["high"][s], named_["band"][s], named_["id"][s:e], named_["class"][s:e], sigs[s:e])
+            if sum(len(f[0]) for f in found[-TILE:]) > TILE or len(found) > TILE:
+                yield _pairs(found), None
+                found = []
+        if found:
+            yield _pairs(found), None
+        yield None, edges[-1]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            for out, at in parts(batch, False):
+                if out is not None:
+                    yield out
+            rest = batch.slice(at)
+        if rest is not None and rest.num_rows:
+            for out, _ in parts(rest, True):
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(run, "a bigint, b bigint, share double")
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b", "share"])
+
+
+def verified(docs: DataFrame, judged: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of judged ones (a, b, share) whose shingle sets are similar."""
     unsure = judged.where(F.col("share") < SURE)
     wanted = cut(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # Few texts are wanted: where their ids are known to be few, they are sent to the texts; else both are shuffled.
@@ -211,6 +280,17 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFr
     return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(exact.select("a", "b"))
 
 
+def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) that join all nodes with similar shingle sets: links to centres' classes, then those between classes."""
+    met = cut(buckets(nodes))
+    sides = [nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
+    judged = cut(central(met).join(sides[0], "a").join(sides[1], "b").select("a", "b", (equal / K).alias("share")).where(F.col("share") >= HOPELESS))
+    named = cut(components(verified(docs, judged, similar)))
+    more = cut(crossing(met, named, nodes).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    return named.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, more, similar))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) for each row of (doc_id, text)."""
     all_ = cut(signed(docs))

@@ -66,6 +66,44 @@ def test_star_of_variants(spark, documents):
     assert got == want
 
 
+def test_pairs_in_a_family_of_a_template(spark, documents):
+    """Texts that are similar only to one other, among many that share a template with them."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(20_000)]
+
+    def some(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    base, rows = some(150), []
+    for n in range(300):
+        rows.append((10 * n, " ".join(base + some(24))))
+    for n in range(0, 300, 5):  # a second text with a part of the first one's own words
+        rows.append((10 * n + 5, " ".join(base + rows[n][1].split()[150:158] + some(16))))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.op5_minhash(spark, documents(rows)).collect()}
+    want = brute(dict(rows))
+    assert len(set(want.values())) == 300
+    assert got == want
+
+
+def test_large_buckets_are_compared_in_tiles(monkeypatch, spark):
+    """Each pair of two classes comes once, however a bucket is dealt out, and pairs of one class don't come."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 20, neardup.K)
+    rows, named = [], []
+    for n in range(90):
+        sig = np.where(rng.random(neardup.K) < 0.1, rng.integers(0, 1 << 20, neardup.K), base)
+        rows.append((n, [int(x) for x in sig]))
+        if n < 50:
+            named.append((n, 0))
+    nodes = spark.createDataFrame(rows, "id long, sig array<int>")
+    sigs = np.array([r[1] for r in rows])
+    share = (sigs[:, None] == sigs[None]).mean(axis=2)
+    want = {(a, b) for b in range(50, 90) for a in range(b) if share[a, b] >= neardup.HOPELESS}
+    got = [(r["a"], r["b"]) for r in neardup.crossing(neardup.buckets(nodes), spark.createDataFrame(named, "id long, component long"), nodes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     items = rng.integers(1, 1 << 62, 300).astype(np.uint64)
