@@ -6,7 +6,7 @@ skips anchors inside what it has consumed, and gives what a leftmost, non-overla
 
 Kinds, in their order: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits);
 the method adds login (scheme://user@host), secret (cue, then 16 or more characters with letters and digits)
-and account (IBAN after its cue, by its check digits; other cues with 6 to 17 digits).
+and account (IBAN after its cue, by its country's length and its check digits; other cues with 6 to 17 digits).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; rows are handled
 one by one, so repeated rows give repeated rows; extra columns aren't read by :func:`find` and kept by
@@ -43,6 +43,18 @@ LOGIN = re.compile(r"://[A-Za-z0-9._~%!$&'*+,;=-]{1,256}(?::[^\s@/]{0,256})?@[A-
 SECRET = re.compile(r"[\"']?[ \t]{0,4}(?:=|:|is)[ \t]{0,4}[\"']?([A-Za-z0-9_+/-]{16,}+)")
 ACCOUNT = re.compile(r"(?: (?:no|nr|number)\.?)?[ \t]{0,4}[:#=]?[ \t]{0,4}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9]))")
 
+# Characters of an IBAN by country.
+IBAN = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
@@ -72,6 +84,27 @@ def iban(text: str) -> bool:
     return len(plain) >= 15 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def account_end(text: str, m: re.Match) -> int | None:
+    """Where the account number that ``m`` begins with ends; None if it is no account number.
+
+    Words in upper case after an IBAN look like its parts. So it ends at its country's length, or else at the last
+    end of a word where its check digits hold.
+    """
+    start, last = m.span(1)
+    if text[start].isdecimal():
+        return last
+    ends, length = [], 0
+    for at in range(start, last):
+        length += text[at] != " "
+        if length >= 15 and text[at] != " " and (at + 1 == last or text[at + 1] == " "):
+            ends.append((length, at + 1))
+    usual = IBAN.get(text[start : start + 2])
+    for _, end in sorted(ends, key=lambda x: (x[0] == usual, x[0]), reverse=True):
+        if iban(text[start:end]):
+            return end
+    return None
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all personal data of a text, sorted."""
     if not text:
@@ -114,9 +147,9 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             if last >= done["secret"] and (m := SECRET.match(text, last + 1)) and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
                 done["secret"] = m.end()
                 found.append((m.start(1), 5, m.end()))
-        elif last >= done["account"] and (m := ACCOUNT.match(text, last + 1)) and (m[1][0].isdecimal() or iban(m[1])):
-            done["account"] = m.end()
-            found.append((m.start(1), 6, m.end()))
+        elif last >= done["account"] and (m := ACCOUNT.match(text, last + 1)) and (end := account_end(text, m)):
+            done["account"] = end
+            found.append((m.start(1), 6, end))
     found.sort()
     return found
 

@@ -65,6 +65,15 @@ def test_more_kinds():
     assert pii.spans("IBAN DE89370400440532013001") == [] or all(pii.KINDS[k] != "account" for _, k, _ in pii.spans("IBAN DE89370400440532013001"))
 
 
+def test_words_after_an_iban():
+    for number in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in (" BIC COBADEFFXXX", " BIC: COBADEFFXXX", " 2024 EUR", " A", ", BIC COBADEFFXXX", ""):
+            text = f"Pay to IBAN {number}{after}"
+            assert pii.spans(text) == [(12, 6, 12 + len(number))]
+            assert pii.replaced(text) == f"Pay to IBAN [ACCOUNT]{after}"
+    assert pii.spans("IBAN DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX") == []
+
+
 def test_odd_rows(spark, documents, odd):
     rows = pii.op10_pii(spark, documents(odd, clash=True)).collect()
     assert len(rows) == len(odd) and all(r["spans"] == "" for r in rows)
