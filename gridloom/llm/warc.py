@@ -27,7 +27,7 @@ import io
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, ready, table
@@ -43,8 +43,9 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
+def record_id(key: int | None, digest: str, copy: int = 0) -> str:
+    """The id of a page's record; rows repeated with a page_id and payload are numbered copies with ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}' + (f'/copy {copy}' if copy else ''))}>"
 
 
 def chunked(payload: bytes) -> bytes:
@@ -85,10 +86,10 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
 
-def response(key: int | None, url: str | None, payload: bytes) -> list[bytes]:
+def response(key: int | None, url: str | None, payload: bytes, copy: int = 0) -> list[bytes]:
     """The records of a page: one, or a first segment and its continuations."""
     digest = base32_sha1(payload)
-    own = record_id(key, digest)
+    own = record_id(key, digest, copy)
     block = HEAD + chunked(payload)
     parts = [block[n : n + SEGMENT] for n in range(0, len(block), SEGMENT)]
     many = len(parts) > 1
@@ -96,13 +97,13 @@ def response(key: int | None, url: str | None, payload: bytes) -> list[bytes]:
     first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *shared, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", key), ("WARC-Segment-Number", 1 if many else None)]
     out = [_record(first, parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        rest = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(key, f"{digest}/{n}")), *shared, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
+        rest = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(key, f"{digest}/{n}", copy)), *shared, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)]
         out.append(_record(rest, part))
     return out
 
 
-def revisit(key: int | None, url: str | None, digest: str, refers_to: int | None) -> bytes:
-    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(key, f"{digest}/revisit")), ("WARC-Target-URI", _line(url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Profile", PROFILE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Page-ID", key)]
+def revisit(key: int | None, url: str | None, digest: str, refers_to: int | None, copy: int = 0) -> bytes:
+    fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(key, f"{digest}/revisit", copy)), ("WARC-Target-URI", _line(url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Profile", PROFILE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Page-ID", key)]
     return _record(fields, b"")
 
 
@@ -133,14 +134,23 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of at least ``least`` bytes, that with the smallest page_id is a response and
     the others revisit it. What decides is joined as 20-byte digests; hot groups of equal payloads are split
-    by Spark's skew handling, as nothing needs them together.
+    by Spark's skew handling, as nothing needs them together. Only payloads with a row repeated in page_id are summed
+    by page and url, so that the copies can be numbered; revisits refer to copy 0.
     """
     ready(pages.sparkSession)
     raw = F.encode(F.coalesce(F.col("`html`").cast("string"), F.lit("")), "UTF-8")
     own = pages.select(F.col("`page_id`").cast("long").alias("page_id"), F.col("`url`").cast("string").alias("url"), raw.alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = own.groupBy("digest").agg(F.min("page_id").alias("first_page"))
+    first = cut(own.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max(F.col("n") > 1).alias("repeated")))
     same = F.col("page_id").eqNullSafe(F.col("first_page")) | (F.length("payload") < least)
-    rows = own.join(first, "digest").select("page_id", "url", "digest", F.when(same, F.col("payload")).alias("payload"), F.when(~same, F.col("first_page")).alias("refers_to"))
+    rows = own.join(first, "digest").select("page_id", "url", "digest", F.when(same, F.col("payload")).alias("payload"), F.when(~same, F.col("first_page")).alias("refers_to"), "repeated")
+    single = rows.where("not repeated").select("page_id", "url", "digest", "payload", "refers_to", F.lit(0).cast("long").alias("copy"))
+    if first.where("repeated").isEmpty():  # the usual case: payloads are shuffled once
+        rows = single
+    else:
+        copies = rows.where("repeated").groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("refers_to").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("digest", "page_id").orderBy("url").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        copies = copies.withColumn("before", before).select("page_id", "url", "digest", "payload", "refers_to", F.explode(F.sequence("before", F.col("before") + F.col("n") - 1)).alias("copy"))
+        rows = single.unionByName(copies)
 
     def run(batches):
         from pyspark import TaskContext
@@ -148,8 +158,8 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         part, number, members, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for at in range(batch.num_rows):
-                key, url, sha, payload, to = (batch.column(n)[at].as_py() for n in range(5))
-                made = response(key, url, payload) if payload is not None else [revisit(key, url, base64.b32encode(bytes.fromhex(sha)).decode(), to)]
+                key, url, sha, payload, to, copy = (batch.column(n)[at].as_py() for n in range(6))
+                made = response(key, url, payload, copy) if payload is not None else [revisit(key, url, base64.b32encode(bytes.fromhex(sha)).decode(), to, copy)]
                 members += made
                 size += sum(map(len, made))
                 if size >= ARCHIVE:

@@ -38,6 +38,18 @@ def test_odd_rows(spark, tables):
     assert warc.op2_warc(spark, tables(pages=(SCHEMA, []))).count() == 0
 
 
+def test_repeated_long_pages(spark, tables):
+    """Rows repeated with a page_id and payload are all responses, also where their records have segments."""
+    long = "é long page " * 20_000
+    rows = [(3, "b", long), (3, "b", long), (3, None, long), (4, "c", long), (4, "c", long), (1, "d", "short"), (1, "d", "short"), (None, "e", "x" * 40_000), (None, "e", "x" * 40_000)]
+    path = tables(pages=(SCHEMA, rows))
+    assert got(spark, path) == wanted(rows)
+    found = warc.read(warc.write(spark.read.parquet(path + "/pages.parquet"))).collect()
+    ids = {r["record_id"]: r for r in found}
+    assert len(found) == len(ids) == len(rows)
+    assert all(ids[r["refers_to_id"]]["page_id"] == 3 for r in found if r["record_type"] == "revisit")
+
+
 def test_lost_and_repeated_segments(spark, tables):
     path = tables(pages=(SCHEMA, [(1, "u", "y" * 200_000)]))
     all_ = warc.records(warc.write(spark.read.parquet(path + "/pages.parquet"))).localCheckpoint()
