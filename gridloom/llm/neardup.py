@@ -1,18 +1,19 @@
 """Near-duplicates with DartMinHash signatures, banded joining and an exact check.
 
-Shingles are the distinct runs of ``SHINGLE`` words of a text (of all its words, if it has fewer). Each shingle throws
-hashed darts: a Poisson process over weight and rank, drawn from the shingle's hash alone. Darts below the shingle's
-weight and below rank theta count; each falls on one of K coordinates, and the earliest of a coordinate is its value in
-the signature. theta is set so that some K ln K + 2 K darts count, and doubled while a coordinate is empty. Two texts
-agree in a coordinate with the probability of their weighted Jaccard similarity. Production gives every shingle weight 1.
-
-Texts with equal shingle sets are one node, brought together by a sum of keys, not by comparing. Nodes meet in ``BANDS``
-bands of K / BANDS coordinates: pairs as similar as 0.8 miss each other in all bands once in ten million. First each node
-of a bucket is paired with the bucket's centre, and the links found make first classes. Then all pairs of a bucket whose
-nodes are in different classes are made, in tiles of some ``TILE`` nodes, so that no task holds a bucket. A hot text's
-variants are one class by then and cost no pairs; a bucket of many texts of as many classes costs all its pairs.
-Signatures settle clear pairs; the others are compared by their whole shingle sets. Classes are the connected
-components of the links.
+Shingles are the distinct runs of ``SHINGLE`` words of a text (of all its words, if it has fewer), weighted by how often
+they occur in it. Each shingle throws hashed darts: a Poisson process over weight and rank, drawn from the shingle's hash
+alone. Darts below the shingle's weight and below rank theta count; each falls on one of K coordinates, and the earliest
+of a coordinate is its value in the signature. theta is set so that some K ln K + 2 K darts count, and doubled while a
+coordinate is empty. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity: the sum
+of the lesser weights over the sum of the greater ones. For texts without repeated shingles that is the similarity of sets.
+
+Texts with equal weighted shingles are one node, brought together by a sum of keys, not by comparing. Nodes meet in
+``BANDS`` bands of K / BANDS coordinates: pairs as similar as 0.8 miss each other in all bands once in ten million. First
+each node of a bucket is paired with the bucket's centre, and the links found make first classes. Then all pairs of a
+bucket whose nodes are in different classes are made, in tiles of some ``TILE`` nodes, so that no task holds a bucket. A
+hot text's variants are one class by then and cost no pairs; a bucket of many texts of as many classes costs all its
+pairs. Signatures only drop pairs far below 0.8; all others are compared exactly, by all their weighted shingles. Classes
+are the connected components of the links.
 
 Defined results: class_id is the smallest doc_id of a class; null, empty and wordless texts are linked to nothing; rows
 that share a doc_id are one document; rows with null doc_id come back with null class_id; repeated rows come back
@@ -35,9 +36,10 @@ from gridloom.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 4
 K = BANDS * ROWS
-SURE, HOPELESS = 0.93, 0.62  # shares of equal coordinates that settle a pair: 3.6 and 4.9 deviations from 0.8
+HOPELESS = 0.62  # a share of equal coordinates 4.9 deviations below 0.8: such pairs aren't compared
 TILE = 512  # nodes of a bucket that a task compares with as many others
 SENT = 2_000_000  # ids of 8 bytes that may be broadcast
+FAN = 4_096  # pairs of a text that meet one copy of its shingles; texts in more pairs are copied
 BLOCK = 1 << 20  # bytes of a text hashed at once
 U = np.uint64
 
@@ -77,17 +79,27 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, sorted."""
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of a text, sorted, and how often each occurs."""
     w = word_hashes(text)
     if not len(w):
-        return w
+        return w, np.zeros(0, np.int64)
     size = min(size, len(w))
     n = len(w) - size + 1
     total = np.full(n, size, U)
     for k in range(size):
         total = mix(total * U(0x9E3779B97F4A7C15) + w[k : k + n])
-    return np.unique(total)
+    return np.unique(total, return_counts=True)
+
+
+def single(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set whose Jaccard similarity is the weighted one of the items: the n-th occurrence of an item is an item."""
+    if not len(items) or counts.max() == 1:
+        return items
+    again = np.repeat(np.flatnonzero(counts > 1), counts[counts > 1] - 1)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(again)) + 1])
+    number = np.arange(len(again)) - np.repeat(start, np.diff(np.concatenate([start, [len(again)]]))) + 1
+    return np.concatenate([items, mix(items[again] + number.astype(U) * U(0x94D049BB133111EB))])
 
 
 def darts(items: np.ndarray, weights: np.ndarray | None, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +151,7 @@ SIGNED = "doc_id bigint, n int, k1 bigint, k2 bigint, sig array<int>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2, sig): number of shingles, key of the set, and signature of each text."""
+    """(doc_id, n, k1, k2, sig): number of shingles with repeats, key of the weighted set, and signature of each text."""
     ready(docs.sparkSession)
 
     def run(batches):
@@ -149,8 +161,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 number, key1, key2, sigs = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    s = shingles(text)
-                    sig = signature(s) if len(s) else nothing
+                    items, counts = shingles(text)
+                    weights = None if not len(items) or counts.max() == 1 else counts.astype(np.float64)
+                    sig = signature(items, weights) if len(items) else nothing
+                    s = single(items, counts)
                     number.append(len(s))
                     key1.append(np.add.reduce(mix(s + U(1))))
                     key2.append(np.bitwise_xor.reduce(mix(s ^ U(0xE7037ED1A0B428DB))) if len(s) else U(0))
@@ -258,30 +272,33 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
 
 
 def verified(docs: DataFrame, judged: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of judged ones (a, b, share) whose shingle sets are similar."""
-    unsure = judged.where(F.col("share") < SURE)
-    wanted = cut(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    """The pairs (a, b) of judged ones whose weighted shingles are similar."""
+    pairs = judged.select("a", "b")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("copies")))
     # Few texts are wanted: where their ids are known to be few, they are sent to the texts; else both are shuffled.
     sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted.hint("merge")
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("id"), F.col("`text`").cast("string").alias("text")).join(sent, "id", "left_semi")
+    texts = docs.select(F.col("`doc_id`").cast("long").alias("id"), F.col("`text`").cast("string").alias("text")).join(sent.select("id"), "id", "left_semi")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [single(*shingles(t)).view(np.int64) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "s"])
 
     sets = cut(texts.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    sides = [sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab"]
-    exact = unsure.join(sides[0], "a").join(sides[1], "b").where(both >= similar * (F.size("s_a") + F.size("s_b") - both))
-    return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(exact.select("a", "b"))
+    for x, y in ("ab", "ba"):  # a text in many pairs is copied, and its pairs dealt to the copies
+        many = wanted.select(F.col("id").alias(x), F.col("copies").alias("of"))
+        pairs = pairs.join(many, x).withColumn(f"part_{x}", F.pmod(F.xxhash64(y), "of").cast("int")).drop("of")
+    sides = [sets.join(wanted, "id").select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(f"part_{x}")) for x in "ab"]
+    exact = pairs.join(sides[0], ["a", "part_a"]).join(sides[1], ["b", "part_b"]).where(both >= similar * (F.size("s_a") + F.size("s_b") - both))
+    return exact.select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) that join all nodes with similar shingle sets: links to centres' classes, then those between classes."""
+    """Pairs (a, b) that join all nodes with similar weighted shingles: links to centres' classes, then those between classes."""
     met = cut(buckets(nodes))
     sides = [nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
