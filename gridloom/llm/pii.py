@@ -1,8 +1,9 @@
 """Personal data by anchor expansion: Aho-Corasick finds anchors, local parsers expand and validate them.
 
 Anchors are at-signs, plus signs, digits, ``://`` and cue words. From an anchor a parser expands left and
-right over the characters that its kind allows, and checks what it has found. Each parser takes linear time,
-skips anchors inside what it has consumed, and gives what a leftmost, non-overlapping search would give.
+right over the characters that its kind allows, and checks what it has found. Parsers skip anchors inside what they
+have consumed or have already found to fail, or look at a bounded number of characters, so that a text takes linear
+time. Each gives what a leftmost, non-overlapping search would give.
 
 Kinds, in their order: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits);
 the method adds login (scheme://user@host), secret (cue, then 16 or more characters with letters and digits)
@@ -28,7 +29,7 @@ from gridloom.llm.common import ready, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "secret", "account")
-# Cue words before identifiers; matched in lower case, upper case and with a capital.
+# Cue words before identifiers, in any case; those of accounts begin a word.
 SECRET_CUES = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey")
 ACCOUNT_CUES = ("iban", "account", "konto", "cuenta", "compte", "ssn")
 
@@ -40,8 +41,8 @@ IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"://[A-Za-z0-9._~%!$&'*+,;=-]{1,256}(?::[^\s@/]{0,256})?@[A-Za-z0-9.-]++")
-SECRET = re.compile(r"[\"']?[ \t]{0,4}(?:=|:|is)[ \t]{0,4}[\"']?([A-Za-z0-9_+/-]{16,}+)")
-ACCOUNT = re.compile(r"(?: (?:no|nr|number)\.?)?[ \t]{0,4}[:#=]?[ \t]{0,4}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9]))")
+SECRET = re.compile(r"[\"']?[ \t]{0,4}(?:=|:|[iI][sS])[ \t]{0,4}[\"']?([A-Za-z0-9_+/-]{16,}+)")
+ACCOUNT = re.compile(r"(?: (?i:no|nr|number)\b\.?)?[ \t]{0,4}[:#=]?[ \t]{0,4}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9]))")
 
 # Characters of an IBAN by country.
 IBAN = {
@@ -65,8 +66,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(word, (kind, len(word)))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -110,8 +110,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     found = []
-    done = dict.fromkeys((*KINDS, "digit"), 0)
-    for last, (anchor, length) in automaton().iter(text):
+    done = dict.fromkeys((*KINDS, "digit", "no secret"), 0)
+    low = text.lower()
+    if len(low) != len(text):  # the one letter whose lower case is two characters
+        low = text.replace("\u0130", "i").lower()
+    for last, (anchor, length) in automaton().iter(low):
         at = last - length + 1
         if anchor == "digit":
             if at >= done["ip"]:
@@ -144,10 +147,14 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
                 done["login"] = m.end()
                 found.append((start, 4, m.end()))
         elif anchor == "secret":
-            if last >= done["secret"] and (m := SECRET.match(text, last + 1)) and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
-                done["secret"] = m.end()
-                found.append((m.start(1), 5, m.end()))
-        elif last >= done["account"] and (m := ACCOUNT.match(text, last + 1)) and (end := account_end(text, m)):
+            # A run of characters that fails as a secret fails from any cue inside it, too.
+            if last >= done["secret"] and last + 3 >= done["no secret"] and (m := SECRET.match(text, last + 1)):
+                if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+                    done["secret"] = m.end()
+                    found.append((m.start(1), 5, m.end()))
+                else:
+                    done["no secret"] = m.end()
+        elif last >= done["account"] and not (at and text[at - 1].isalpha()) and (m := ACCOUNT.match(text, last + 1)) and (end := account_end(text, m)):
             done["account"] = end
             found.append((m.start(1), 6, end))
     found.sort()

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from gridloom.llm import pii
 from hypothesis import given, settings
@@ -65,6 +66,22 @@ def test_more_kinds():
     assert pii.spans("IBAN DE89370400440532013001") == [] or all(pii.KINDS[k] != "account" for _, k, _ in pii.spans("IBAN DE89370400440532013001"))
 
 
+def test_cues_in_any_case():
+    for cue in ("API Key", "Api Key", "apiKey", "PassWord", "auth_token"):
+        assert pii.replaced(f"my {cue}: abcd1234abcd1234abcd") == f"my {cue}: [SECRET]"
+    assert pii.replaced("\u0130 Account Number: 12345678") == "\u0130 Account Number: [ACCOUNT]"
+    assert pii.spans("lessn 12345678, subaccount 12345678") == []
+    assert [s for s in pii.spans("token is aaaaaaaaaaaaaaaaaaaatokenis 1234567890abcdef1234") if s[1] == 5] == [(37, 5, 57)]
+
+
+def test_long_texts_of_anchors_take_linear_time():
+    for unit in ("tokenis", "token is ", "iban DE89", "+1(", "a@", "://a:", "1.", "1 ", "konto 1-", "secret=x9", "password='"):
+        text = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        pii.spans(text)
+        assert time.perf_counter() - began < 8, unit
+
+
 def test_words_after_an_iban():
     for number in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
         for after in (" BIC COBADEFFXXX", " BIC: COBADEFFXXX", " 2024 EUR", " A", ", BIC COBADEFFXXX", ""):
