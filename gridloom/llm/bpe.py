@@ -1,8 +1,10 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and an incremental decoder.
 
-A piece (what the pre-tokenizer yields) is encoded window by window. A token is emitted once the bytes
-after it can't change it any more: :func:`sufficient_lookahead` derives from the merge list alone how
-many bytes that takes. So the working memory doesn't depend on the length of a piece.
+A text is cut into pieces chunk by chunk, as the pre-tokenizer cuts it; a piece longer than a chunk is fed to the
+transducer in parts. This keeps the bytes that are not settled yet: a token is emitted once the bytes after it can't
+change it any more. :func:`sufficient_lookahead` derives from the merge list alone how many bytes that takes, and
+between two bytes that stand side by side in no token nothing can change at all. So the working memory depends on neither
+the length of a text nor that of a piece.
 
 Decoding is a state machine over bytes: it keeps the open UTF-8 sequence between tokens.
 
@@ -14,6 +16,7 @@ ids raise; rows are never merged, so repeated rows stay; extra columns aren't re
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 import re
 import sys
@@ -32,26 +35,28 @@ from gridloom.llm.common import ready, table
 SHIFT = 20  # of the first id in the key of a pair
 MASK = (1 << SHIFT) - 1
 NEVER = 1 << 62
-WINDOW = 1024  # bytes of a piece that are merged at once, besides the lookahead
+WINDOW = 4096  # bytes of a piece that are merged at once, besides the lookahead
 CHUNK = 1 << 16  # characters of a text that are split into pieces at once
+MARGIN = 3  # characters after a piece's end that the pattern may look at
+SHORT = 96  # bytes of a piece whose best pair is sought by looking at all pairs
 CACHE = 150_000  # pieces of at most 64 bytes that a worker keeps in each of two generations
 
 # The pre-tokenizer's pattern, and white space as that pattern means it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0  -     　"
 # The same pattern for the standard library, which is faster; right for texts without ODD characters.
-PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PLAIN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]++|_++)++|\s+(?!\S)|\s+"
 
 
 @lru_cache(1)
-def _patterns() -> tuple[frozenset[str], re.Pattern, regex.Pattern, re.Pattern]:
-    """Odd characters, pieces of texts without them, pieces of any text, places where a text may be cut."""
+def _patterns() -> tuple[frozenset[str], re.Pattern, regex.Pattern]:
+    """Odd characters, pieces of texts without them, pieces of any text."""
     numbers = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
     letters = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isdecimal()]
     marks = [c for c in range(sys.maxunicode + 1) if (chr(c).isalnum() or chr(c) == "_") != (unicodedata.category(chr(c))[0] in "LN" or chr(c) == "_")]
     odd = frozenset(map(chr, {*numbers, *letters, *marks, *range(0x1C, 0x20)}))
     exact = PIECES.replace(r"[^\s\p{L}", rf"[^{SPACE}\p{{L}}").replace(r"\s+(?!\S)|\s+", rf"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    return odd, re.compile(PLAIN), regex.compile(exact), re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+    return odd, re.compile(PLAIN), regex.compile(exact)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -100,11 +105,17 @@ class Vocabulary:
         self.of_byte = [0] * 256
         for c, b in alphabet.items():
             self.of_byte[b] = ids[c]
+        self.beside = np.zeros((256, 256), bool)  # bytes that stand side by side in some token
+        for b in self.bytes:
+            for x, y in zip(b or b"", (b or b"")[1:]):
+                self.beside[x, y] = True
         self.lookahead = sufficient_lookahead(merges, {i: len(b) for i, b in enumerate(self.bytes) if b is not None})
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a short piece: the best pair is merged, leftmost first, until none is left."""
+        """Ids of a piece: the best pair is merged, leftmost first, until none is left."""
+        if len(piece) > SHORT:
+            return self._merge_long(piece)
         ids = list(map(self.of_byte.__getitem__, piece))
         get = self.rank.get
         ranks = [get(a << SHIFT | b, NEVER) for a, b in zip(ids, ids[1:])]
@@ -118,33 +129,95 @@ class Vocabulary:
                 ranks[at] = get(new << SHIFT | ids[at + 1], NEVER)
         return ids
 
-    def stream(self, piece: bytes) -> Iterator[list[int]]:
-        """Ids of a piece of any length, window by window; a token goes out once it is stable."""
-        start, window = 0, WINDOW + self.lookahead
-        while len(piece) - start > window:
-            ids = self.merge(piece[start : start + window])
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap of pairs over linked positions: n log n steps for n bytes."""
+        get, size = self.rank.get, len(piece)
+        ids: list[int] = list(map(self.of_byte.__getitem__, piece))
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # Entries are rank, position, merged id in one integer; they are stale if the pair there is another by now.
+        pairs = [get(a << SHIFT | b) for a, b in zip(ids, ids[1:])] + [None]
+        heap = [(r >> SHIFT) << 32 | n for n, r in enumerate(pairs) if r is not None]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            at = top & 0xFFFFFFFF
+            pair = pairs[at]
+            if pair is None or pair >> SHIFT != top >> 32:
+                continue
+            gone = after[at]
+            ids[at] = new = pair & MASK
+            ids[gone] = -1
+            pairs[gone] = None
+            after[at] = next_ = after[gone]
+            if next_ < size:
+                before[next_] = at
+                pairs[at] = r = get(new << SHIFT | ids[next_])
+                if r is not None:
+                    push(heap, (r >> SHIFT) << 32 | at)
+            else:
+                pairs[at] = None
+            if (left := before[at]) >= 0:
+                pairs[left] = r = get(ids[left] << SHIFT | new)
+                if r is not None:
+                    push(heap, (r >> SHIFT) << 32 | left)
+        return [i for i in ids if i >= 0]
+
+
+class Transducer:
+    """Ids of the bytes of one piece that arrive bit by bit; the state is what isn't settled yet."""
+
+    def __init__(self, vocabulary: Vocabulary, pieces: dict | None = None):
+        self.vocabulary, self.open = vocabulary, b""
+        self.pieces = Pieces(vocabulary, {}) if pieces is None else pieces
+
+    def feed(self, more: bytes, last: bool = False) -> Iterator[bytes]:
+        """Ids, as int32 bytes, that are settled now."""
+        v, data = self.vocabulary, self.open + more
+        b = np.frombuffer(data, np.uint8)
+        edges = (np.flatnonzero(~v.beside[b[:-1], b[1:]]) + 1).tolist() if len(b) > 1 else []
+        start = 0
+        for end in [*edges, *([len(data)] if last else [])]:
+            if end - start > WINDOW + v.lookahead:
+                at, parts = self._windows(data[start:end])
+                yield from parts
+                start += at
+            if end - start <= SHORT:
+                yield self.pieces[data[start:end]]
+            else:
+                yield np.asarray(v.merge(data[start:end]), np.int32).tobytes()
+            start = end
+        at, parts = self._windows(data[start:])
+        yield from parts
+        self.open = data[start + at :]
+
+    def _windows(self, data: bytes) -> tuple[int, list[bytes]]:
+        """Stable ids of data that goes on, and how many bytes they cover."""
+        v, start, out = self.vocabulary, 0, []
+        while len(data) - start > WINDOW + v.lookahead:
+            ids = v.merge(data[start : start + WINDOW + v.lookahead])
             stable, end = 0, 0
-            while end + len(self.bytes[ids[stable]]) <= WINDOW:
-                end += len(self.bytes[ids[stable]])
+            while end + len(v.bytes[ids[stable]]) <= WINDOW:
+                end += len(v.bytes[ids[stable]])
                 stable += 1
-            yield ids[:stable]
+            out.append(np.asarray(ids[:stable], np.int32).tobytes())
             start += end
-        yield self.merge(piece[start:])
+        return start, out
 
 
 class Pieces(dict):
     """Ids, as int32 bytes, by piece; a piece that isn't kept yet is encoded when it is asked for."""
 
-    def __init__(self, vocabulary: Vocabulary, before: dict[str, bytes]):
+    def __init__(self, vocabulary: Vocabulary, before: dict[str | bytes, bytes]):
         super().__init__()
         self.vocabulary, self.before = vocabulary, before
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str | bytes) -> bytes:
         found = self.before.get(piece)
         if found is None:
-            raw = piece.encode()
-            if len(raw) > 64:  # long pieces are rare and would fill the cache
-                return b"".join(np.asarray(x, np.int32).tobytes() for x in self.vocabulary.stream(raw))
+            raw = piece.encode() if isinstance(piece, str) else piece
+            if len(raw) > SHORT:  # long pieces are rare and would fill the cache
+                return b"".join(Transducer(self.vocabulary, self).feed(raw, True))
             found = np.asarray(self.vocabulary.merge(raw), np.int32).tobytes()
         if len(self) < CACHE:
             self[piece] = found
@@ -158,28 +231,37 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces = Pieces(vocabulary, {})
 
-    def _plain(self, text: str) -> bytes:
-        """Ids, as int32 bytes, of a text in which no special string stands."""
-        odd, plain, exact, place = _patterns()
-        find, out, start = (plain if odd.isdisjoint(text) else exact).findall, [], 0
-        while start < len(text):
+    def _plain(self, text: str, start: int, stop: int) -> Iterator[bytes]:
+        """Ids, as int32 bytes, of a part of a text in which no special string stands."""
+        odd, plain, exact = _patterns()
+        pattern = plain if all(odd.isdisjoint(text[n : min(stop, n + CHUNK)]) for n in range(start, stop, CHUNK)) else exact
+        while start < stop:
             if len(self.pieces) >= CACHE:
                 self.pieces = Pieces(self.vocabulary, dict(self.pieces))
-            cut = place.search(text, start + CHUNK)
-            end = cut.start() if cut else len(text)
-            out.append(b"".join(map(self.pieces.__getitem__, find(text[start:end]))))
+            end = min(stop, start + CHUNK)
+            found = pattern.findall(text, start, end)
+            if end < stop:  # the last pieces may go on or be cut in another way
+                while found and end > start + CHUNK - MARGIN:
+                    end -= len(found.pop())
+                if not found:
+                    end = pattern.match(text, start, stop).end()
+                    machine = Transducer(self.vocabulary, self.pieces)
+                    for n in range(start, end, CHUNK):
+                        yield from machine.feed(text[n : min(end, n + CHUNK)].encode(), n + CHUNK >= end)
+            yield b"".join(map(self.pieces.__getitem__, found))
             start = end
-        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        split = self.vocabulary.split_special
-        if split is None or split.search(text) is None:
-            return np.frombuffer(self._plain(text), np.int32)
-        special = self.vocabulary.special
-        parts = [np.asarray([special[x]], np.int32).tobytes() if n % 2 else self._plain(x) for n, x in enumerate(split.split(text))]
-        return np.frombuffer(b"".join(parts), np.int32)
+        out, start = bytearray(), 0
+        text = text or ""
+        split, special = self.vocabulary.split_special, self.vocabulary.special
+        for m in split.finditer(text) if split else ():
+            out += b"".join(self._plain(text, start, m.start()))
+            out += np.asarray([special[m[0]]], np.int32).tobytes()
+            start = m.end()
+        for part in self._plain(text, start, len(text)):
+            out += part
+        return np.frombuffer(bytes(out), np.int32)
 
 
 class Decoder:

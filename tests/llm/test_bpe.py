@@ -1,5 +1,9 @@
 import hashlib
+import random
+import time
+import tracemalloc
 
+import numpy as np
 import pytest
 from gridloom.llm import bpe
 from tokenizers import Tokenizer
@@ -28,12 +32,56 @@ def test_ids_and_text_equal_the_librarys(library):
         assert "".join([*[machine.feed([i]) for i in got], machine.feed([], True)]) == library.decode(want, skip_special_tokens=False)
 
 
-def test_lookahead_suffices(library):
-    """Windows of the least size give what merging a piece at once gives."""
+def test_lookahead_suffices():
+    """What is settled while bytes arrive is what merging a piece at once gives, with a list and with a heap."""
     v = bpe.vocabulary(bpe.default_path())
     assert 0 < v.lookahead < 2_000
-    for piece in (b"a" * 7_000, b"-=" * 4_000, bytes(range(33, 127)) * 60, b"internationalization" * 300):
-        assert [i for part in v.stream(piece) for i in part] == v.merge(piece)
+    rng = random.Random(1)
+    letters = bytes(rng.choice(b"aeinorst") for _ in range(9_000))
+    for piece in (b"a" * 7_000, b"-=" * 4_000, bytes(range(33, 127)) * 60, b"internationalization" * 300, letters):
+        want = v._merge_long(piece)
+        for size in (1 << 20, 1_000, 5_000):
+            machine, parts = bpe.Transducer(v), [piece[n : n + size] for n in range(0, len(piece), size)]
+            got = b"".join(x for n, part in enumerate(parts) for x in machine.feed(part, n == len(parts) - 1))
+            assert np.frombuffer(got, np.int32).tolist() == want
+            assert len(machine.open) == 0
+    for n in range(300):
+        piece = bytes(rng.choice(b"aeinorst ehlo") for _ in range(rng.randrange(1, bpe.SHORT)))
+        assert v.merge(piece) == v._merge_long(piece)
+
+
+@pytest.mark.parametrize("chunk", [4, 7, 64])
+def test_chunks_dont_matter(monkeypatch, library, chunk):
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()))
+    rng = random.Random(chunk)
+    for _ in range(600):
+        text = "".join(rng.choice(["a", "word", " ", "  ", "'", "'re", "'s", "1", "\n", "é", "你好", "=", "_", "\x85", "²", "<|endoftext|>", "\U0001f600"]) for _ in range(rng.randrange(40)))
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_without_spaces(library):
+    rng = random.Random(2)
+    for chars, size in (([chr(n) for n in range(0x4E00, 0x9FA5)], 200_000), ([chr(n) for n in range(0x3041, 0x3097)], 100_000), (list("abcdefghijklmnopqrstuvwxyz"), 200_000)):
+        text = "".join(rng.choices(chars, k=size))
+        began = time.perf_counter()
+        got = bpe.Encoder(bpe.vocabulary(bpe.default_path())).encode(text)
+        assert time.perf_counter() - began < 10
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_a_long_piece_is_bounded():
+    """Beside the text and its ids, a long piece takes as much as a shorter one."""
+    encoder, peaks = bpe.Encoder(bpe.vocabulary(bpe.default_path())), []
+    run = "".join(random.Random(5).choices([chr(n) for n in range(0x3041, 0x3097)], k=1 << 20))
+    encoder.encode(run[: 1 << 17])
+    for size in (1 << 18, 1 << 20):
+        text = run[:size]
+        tracemalloc.start()
+        assert sum(len(part) for part in encoder._plain(text, 0, size))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 4 << 20
 
 
 def test_every_document(spark, small, library):
