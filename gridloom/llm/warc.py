@@ -173,13 +173,22 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
 
 FIELDS = ("warc-type", "warc-record-id", "x-page-id", "warc-target-uri", "warc-refers-to", "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length")
 RECORD = "record_type string, record_id string, page_id bigint, url string, refers_to_id string, origin_id string, segment int, total bigint, block binary"
+DECODED = "payload_bytes bigint, payload_digest string"
 
 
-def records(archives: DataFrame, segmented: bool | None = None) -> DataFrame:
-    """The records of archives: all, or only segments, or only those that are whole."""
+def _decoded(kind: str | None, block: bytes | None) -> tuple[bytes | None, int | None, str | None]:
+    """Payload of a whole record's block, its length and its digest."""
+    found = payload_of(block) if kind == "response" else None
+    return (None, None, None) if found is None else (found, len(found), base32_sha1(found))
+
+
+def records(archives: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of archives. Those that are whole are decoded: payload (if asked for), its length and digest; segments
+    have a number and keep their blocks."""
     ready(archives.sparkSession)
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
+    schema = f"{RECORD}, payload binary, {DECODED}" if payload else f"{RECORD}, {DECODED}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), *[pa.binary()] * payload, pa.int64(), pa.string()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
@@ -190,57 +199,60 @@ def records(archives: DataFrame, segmented: bool | None = None) -> DataFrame:
             for content in batch.column(0):
                 for fields, block in parse(content.as_py() or b""):
                     kind, own, page, url, to, origin, number, total = (fields.get(k) for k in FIELDS)
-                    if segmented is not None and segmented != (number is not None):
-                        continue
-                    rows.append((kind, own, int(page) if page else None, url, to, origin or (own if number else None), int(number) if number else None, int(total) if total else None, block))
-                    size += len(block)
+                    found, length, digest = _decoded(kind, block) if number is None else (None, None, None)
+                    kept = block if number is not None else None
+                    rows.append((kind, own, int(page) if page else None, url, to, origin or (own if number else None), int(number) if number else None, int(total) if total else None, kept, *[found] * payload, length, digest))
+                    size += len(kept or b"") + len(found or b"") * payload + 500
                     if size > ARCHIVE:
                         yield batch_of(rows)
                         rows, size = [], 0
         if rows:
             yield batch_of(rows)
 
-    return archives.select("content").mapInArrow(run, RECORD)
+    return archives.select("content").mapInArrow(run, schema)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
-    """Whole records of segments; the block is null unless all are there and their length is the stated total.
+    """Whole records of segments, with their blocks in order; blocks are null unless all are there and their length is
+    the stated total.
 
     A group has the segments of one record, so it is as large as one cell of the result.
     """
     groups = segments.groupBy("origin_id").agg(F.collect_set(F.struct("segment", "block")).alias("parts"), F.max("total").alias("total"), *[F.first(c, True).alias(c) for c in ("page_id", "url")], F.max(F.when(F.col("segment") == 1, F.col("record_type"))).alias("record_type"))
-    parts = F.array_sort("parts")
     number = F.size("parts")
-    joined = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))")
-    whole = (F.element_at(F.col("parts"), -1)["segment"] == number) & (F.col("parts")[0]["segment"] == 1)
-    ready_ = groups.withColumn("parts", parts).withColumn("block", F.when(whole, joined))
-    return ready_.select("record_type", F.col("origin_id").alias("record_id"), "page_id", "url", F.lit(None).cast("string").alias("refers_to_id"), F.when(F.length("block") == F.col("total"), F.col("block")).alias("block"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    whole = (F.element_at(F.col("parts"), -1)["segment"] == number) & (F.col("parts")[0]["segment"] == 1) & (length == F.col("total"))
+    return groups.withColumn("parts", F.array_sort("parts")).select("record_type", F.col("origin_id").alias("record_id"), "page_id", "url", F.lit(None).cast("string").alias("refers_to_id"), F.when(whole, F.col("parts")["block"]).alias("blocks"))
 
 
 def decoded(whole: DataFrame, payload: bool = True) -> DataFrame:
-    """Payloads of whole records: their bytes (if asked for), length and digest."""
+    """Payloads of reassembled records: their bytes (if asked for), length and digest."""
     ready(whole.sparkSession)
-    names = [c for c in whole.columns if c != "block"]
+    names = [c for c in whole.columns if c != "blocks"]
     extra = [("payload", pa.binary())] * payload + [("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index("block")
+            at = batch.schema.names.index("blocks")
             kinds = batch.column(batch.schema.names.index("record_type")).to_pylist()
-            found = [payload_of(b.as_py()) if k == "response" else None for k, b in zip(kinds, batch.column(at))]
-            columns = [c for n, c in enumerate(batch.columns) if n != at] + [pa.array(found, pa.binary())] * payload
-            columns += [pa.array([None if x is None else len(x) for x in found], pa.int64()), pa.array([None if x is None else base32_sha1(x) for x in found], pa.string())]
+            found = [_decoded(k, b"".join(b.as_py()) if b.is_valid else None) for k, b in zip(kinds, batch.column(at))]
+            columns = [c for n, c in enumerate(batch.columns) if n != at]
+            columns += [pa.array([f[n] for f in found], t) for n, (_, t) in zip(range(0 if payload else 1, 3), extra)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[k for k, _ in extra]])
 
-    kept = [f"`{c}` {t}" for c, t in whole.dtypes if c != "block"]
-    return whole.mapInArrow(run, ", ".join([*kept, *["payload binary"] * payload, "payload_bytes bigint, payload_digest string"]))
+    kept = [f"`{c}` {t}" for c, t in whole.dtypes if c != "blocks"]
+    return whole.mapInArrow(run, ", ".join([*kept, *["payload binary"] * payload, DECODED]))
 
 
 def read(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """Every response and revisit of archives with its payload, revisits without."""
-    names = ["record_type", "record_id", "page_id", "url", "refers_to_id", "block"]
-    whole = records(archives, segmented=False).select(*names).unionByName(reassemble(records(archives, segmented=True)).select(*names))
-    return decoded(whole, payload)
+    """Every response and revisit of archives with its payload, revisits without.
+
+    Archives are parsed once if no payloads are asked for: then what is parsed is written, and is small but for segments.
+    """
+    names = ["record_type", "record_id", "page_id", "url", "refers_to_id", *["payload"] * payload, "payload_bytes", "payload_digest"]
+    all_ = records(archives, payload)
+    all_ = all_ if payload else cut(all_)
+    return all_.where("segment is null").select(*names).unionByName(decoded(reassemble(all_.where("segment is not null")), payload).select(*names))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
