@@ -8,8 +8,9 @@ the code has all 2^(n-1) - 1 splits, beyond that ``BITS`` random ones, kept apar
 Features are counts of 1-, 2- and 3-grams of code points in lower case, hashed to ``BUCKETS``, as square roots of their
 shares. Whatever is no letter counts as a space and runs of spaces as one, so punctuation and digits tell nothing.
 
-Only fitting uses a sample: about ``ROWS`` documents of each language outside the held-out fold, chosen by a hash of
-doc_id. Every text is read whole, in blocks.
+Only fitting uses a sample: at most ``ROWS`` documents of each language outside the held-out fold, chosen by a hash of
+doc_id; with more than ``SAMPLE`` / ``ROWS`` languages each has an equal part of ``SAMPLE``, at least one. Every text is
+read whole, in blocks.
 
 Defined results: ``und`` and score 0 for null, empty and letterless texts; with nothing to learn from, all texts are
 ``und``; the score is the winner's share of exp(-loss), and ``ambiguous`` is set where the second codeword's loss is
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut, fold, ready, table
 
 BUCKETS, ROWS, BITS, STEPS, RATE, MARGIN = 1 << 12, 400, 31, 150, 0.05, 0.5
+SAMPLE = 4_800  # rows of all languages, of 16 KB each
 BLOCK = 1 << 18  # characters read at once
 SALTS = 256  # parts of a language among which the sample is first sought
 
@@ -129,13 +131,14 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     """A model of (doc_id, text, lang) outside the held-out fold."""
     ready(docs.sparkSession)
     own = docs.select(F.col("`doc_id`").cast("string").alias("doc_id"), F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
+    rows = max(1, min(rows, SAMPLE // max(1, own.select("lang").distinct().count())))
     place = F.crc32(F.concat(F.lit("langid:"), F.coalesce("doc_id", F.lit("")))) / F.lit(2.0**32)
     # The first of each of SALTS parts of a language, then the first of these: a common language isn't one task's.
     ids = own.select("doc_id", "lang", place.alias("place"), (F.crc32(F.concat(F.lit("salt:"), F.coalesce("doc_id", F.lit("")))) % SALTS).alias("salt"))
     for keys in (["lang", "salt"], ["lang"]):
         ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))).where(F.col("r") <= rows)
     chosen = cut(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-    # The sample's size is bounded by rows and the number of languages.
+    # The sample's size is bounded by SAMPLE, or by one row a language.
     sample = own.join(F.broadcast(chosen), own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
     def run(batches):
@@ -146,7 +149,7 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
 
     found = sample.mapInArrow(run, "doc_id string, lang string, x binary").collect()
     found.sort(key=lambda r: (hash_of(r["doc_id"]), r["lang"], bytes(r["x"])))
-    x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in found], np.float64).reshape(len(found), BUCKETS)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float32).reshape(len(found), BUCKETS)
     return train(x, [r["lang"] for r in found])
 
 
