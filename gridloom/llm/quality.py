@@ -10,7 +10,7 @@ variety. Two layers (tanh, then logistic) are trained by full-batch Adam; a temp
 sample that the network hasn't seen calibrates the probabilities.
 
 Only fitting uses a sample: at most ``ROWS`` labelled rows outside the held-out fold, the first by a hash of doc_id. The
-vocabulary is their ``VOCABULARY`` most frequent words. Every text is scored whole.
+vocabulary is their ``VOCABULARY`` most frequent words and ``SHAPES`` most frequent shapes. Every text is scored whole.
 
 Defined results: null and empty texts are zero vectors and get the score of these; labels of a document that is
 labelled twice are averaged; rows without labels or with null labels teach nothing; with no labels of both kinds every
@@ -35,6 +35,7 @@ from gridloom.llm.common import cut, fold, ready, table
 
 ROWS, VOCABULARY, SIZE, DARTS, REACH = 4_000, 8_192, 48, 6, 2
 BLOCK = 4_096  # words whose neighbours are summed at once
+SHAPES = 4_096
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.02, 1e-4
 THRESHOLD = 0.7
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +109,7 @@ def vectors(sample: DataFrame, text: str = "text") -> Vectors:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+        times: Counter[str] = Counter()
         cache: dict[str, np.ndarray] = {}
 
         def vector(unit):
@@ -125,6 +127,7 @@ def vectors(sample: DataFrame, text: str = "text") -> Vectors:
                 if not ws:
                     continue
                 codes = {u: n for n, u in enumerate({*units, *shapes})}
+                times.update(shapes)
                 table_ = np.stack([vector(u) for u in codes])
                 u, s = np.array([codes[x] for x in units]), np.array([codes[x] for x in shapes])
                 local = np.zeros((len(codes), SIZE), np.int64)
@@ -146,11 +149,12 @@ def vectors(sample: DataFrame, text: str = "text") -> Vectors:
         for at in range(0, len(keys), 2000):
             part = keys[at : at + 2000]
             flat = np.concatenate([sums[k] for k in part])
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * SIZE), pa.array(flat))], names=["unit", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([times[k] for k in part], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * SIZE), pa.array(flat))], names=["unit", "n", "v"])
 
-    parts = sample.select(F.col(text)).mapInArrow(run, "unit string, v array<bigint>")
-    rows = parts.groupBy("unit").agg(*[F.sum(F.col("v")[n]).alias(f"v{n}") for n in range(SIZE)])
-    kept = rows.orderBy("unit").collect()
+    parts = sample.select(F.col(text)).mapInArrow(run, "unit string, n bigint, v array<bigint>")
+    rows = parts.groupBy("unit").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[n]).alias(f"v{n}") for n in range(SIZE)])
+    # Words come first, as shapes begin with the least character and only these are counted; both are bounded.
+    kept = sorted(rows.orderBy(F.col("unit").startswith("\0"), F.desc("n"), "unit").limit(VOCABULARY + SHAPES).drop("n").collect())
     matrix = np.array([[0.0] * SIZE, *[[float(x) for x in r[1:]] for r in kept]])
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return Vectors({r["unit"]: n + 1 for n, r in enumerate(kept)}, (matrix / np.where(norm == 0, 1, norm)).astype(np.float32))
