@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, neardup, pii, quality
-from gridloom.llm.common import cut, only, table
+from gridloom.llm.common import cut, drop, only, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose calibrated probability of being good is below this go.
@@ -63,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each over what the one before it has written."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = cut(docs)
+            drop(before)
     return docs

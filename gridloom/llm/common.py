@@ -38,10 +38,12 @@ def ready(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session doesn't name one (tests on one machine), a folder in the warehouse is used.
+    Where a session on one machine doesn't name one (tests), a folder in the warehouse is used; a cluster must name it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
@@ -56,6 +58,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` has written and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+            if "/cut-" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra ones, whatever they are called, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, fresh, ready, table
+from gridloom.llm.common import cut, drop, fresh, ready, table
 from gridloom.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -305,6 +305,7 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFr
     judged = cut(central(met).join(sides[0], "a").join(sides[1], "b").select("a", "b", (equal / K).alias("share")).where(F.col("share") >= HOPELESS))
     named = cut(components(verified(docs, judged, similar)))
     more = cut(crossing(met, named, nodes).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    drop(met)
     return named.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, more, similar))
 
 
