@@ -9,11 +9,13 @@ of the lesser weights over the sum of the greater ones. For texts without repeat
 
 Texts with equal weighted shingles are one node, brought together by a sum of keys, not by comparing. Nodes meet in
 ``BANDS`` bands of K / BANDS coordinates: pairs as similar as 0.8 miss each other in all bands once in ten million. First
-each node of a bucket is paired with the bucket's centre, and the links found make first classes. Then all pairs of a
-bucket whose nodes are in different classes are made, in tiles of some ``TILE`` nodes, so that no task holds a bucket. A
-hot text's variants are one class by then and cost no pairs; a bucket of many texts of as many classes costs all its
-pairs. Signatures only drop pairs far below 0.8; all others are compared exactly, by all their weighted shingles. Classes
-are the connected components of the links.
+each node of a bucket is paired with the bucket's centre, and the links found make first classes. Then all nodes of a
+bucket that are in different classes are compared: those outside its largest class with each other, and with that class
+as a whole, once for all buckets. This is done in tiles of some ``TILE`` nodes, so that no task holds a bucket, on
+sketches of the texts: their ``SKETCH`` least shingles, which are all of most texts. A tile gives only links that join
+two of its classes, and pairs that a sketch can't decide. A hot text's variants are one class by then and cost no
+comparison; a bucket of many texts of as many classes costs all its pairs in time, but not in rows. All pairs that give
+links are compared exactly in the end, by all their weighted shingles. Classes are the connected components of the links.
 
 Defined results: class_id is the smallest doc_id of a class; null, empty and wordless texts are linked to nothing; rows
 that share a doc_id are one document; rows with null doc_id come back with null class_id; repeated rows come back
@@ -22,6 +24,7 @@ repeated; extra columns aren't read by :func:`classes`.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
@@ -37,7 +40,10 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 4
 K = BANDS * ROWS
 HOPELESS = 0.62  # a share of equal coordinates 4.9 deviations below 0.8: such pairs aren't compared
-TILE = 512  # nodes of a bucket that a task compares with as many others
+TILE = 1_024  # nodes that are compared with as many others at once
+BIG = 32  # nodes of a bucket's largest class, beyond which it is compared as a whole
+SKETCH = 2_048  # shingles of a sketch
+DOUBT = 5 * 0.4 / SKETCH**0.5  # five deviations of a similarity near 0.8 that a cut sketch estimates
 SENT = 2_000_000  # ids of 8 bytes that may be broadcast
 FAN = 4_096  # pairs of a text that meet one copy of its shingles; texts in more pairs are copied
 BLOCK = 1 << 20  # bytes of a text hashed at once
@@ -197,97 +203,134 @@ def central(met: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _compared(own: np.ndarray, low: int, high: int, band: int, ids: np.ndarray, classes_: np.ndarray, sigs: np.ndarray):
-    """(a, b, share) of the pairs of tiles low and high that aren't hopeless, have two classes, and meet in no earlier band."""
-    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    for n, at in enumerate(left):
-        others = right[n + 1 :] if low == high else right
-        others = others[classes_[others] != classes_[at]]
-        equal = sigs[others] == sigs[at]
-        share = np.count_nonzero(equal, axis=1) / K
-        good = np.flatnonzero(share >= HOPELESS)
-        good = good[equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-        if len(good):
-            a = np.full(len(good), ids[at])
-            b = ids[others[good]]
-            yield np.minimum(a, b), np.maximum(a, b), share[good]
+def _of_texts(docs: DataFrame, ids: DataFrame, made, schema: str) -> DataFrame:
+    """(id, *schema): what ``made`` gives for the weighted shingles of each text with one of the ids, written."""
+    # Where the ids are known to be few, they are sent to the texts; else both are shuffled.
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge")
+    texts = docs.select(F.col("`doc_id`").cast("long").alias("id"), F.col("`text`").cast("string").alias("text")).join(sent, "id", "left_semi")
 
-
-def crossing(met: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, share) of all pairs of a bucket's nodes that are in different classes and not hopeless.
-
-    A bucket's largest class is apart from its other nodes: its tiles meet those of the others, but not each other.
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [made(single(*shingles(t))) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "s"])
+
+    return cut(texts.select("id", "text").mapInArrow(run, f"id bigint, s {schema}"))
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """The least shingles as 32-bit numbers in order."""
+    return np.sort((items >> U(32)).astype(np.uint32))[:SKETCH].view(np.int32)
+
+
+def _joined(low: bool, own: np.ndarray, ids: np.ndarray, classes_: np.ndarray, items: list[np.ndarray], similar: float):
+    """(a, b) of links that join the classes of a tile, and of pairs in doubt; of all pairs, or of the two parts."""
+    both = np.concatenate(items)
+    _, code = np.unique(both, return_inverse=True)
+    size = np.array([len(x) for x in items])
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    most = np.array([x[-1] if len(x) >= SKETCH else np.iinfo(np.uint32).max for x in items], np.uint32)
+    cut_ = size >= SKETCH
+    classes_ = classes_.copy()
+    flags = np.zeros(int(code.max()) + 1, np.int64)
+    left = np.arange(len(ids)) if low else np.flatnonzero(own)
+    for n in left:
+        mine = code[first[n] : first[n] + size[n]]
+        flags[mine] = 1
+        common = np.add.reduceat(flags[code], first)
+        flags[mine] = 0
+        others = classes_ != classes_[n]
+        others &= (np.arange(len(ids)) > n) if low else ~own
+        # Beyond the least end of two sketches nothing is known, so only what is up to there counts.
+        up_to = np.minimum(most, most[n])
+        ours = np.searchsorted(items[n], up_to, "right") if cut_.any() else np.full(len(ids), size[n])
+        theirs = np.add.reduceat(both <= most[n], first) if cut_[n] else size
+        share = common / (ours + theirs - common)
+        doubt = np.where(cut_ | cut_[n], DOUBT, 0.0)
+        sure = np.flatnonzero(others & (share >= similar + doubt))
+        for m in sure[np.argsort(-share[sure], kind="stable")]:
+            if classes_[m] != classes_[n]:
+                yield min(ids[n], ids[m]), max(ids[n], ids[m])
+                classes_[classes_ == classes_[m]] = classes_[n]
+        for m in np.flatnonzero(others & (share >= similar - doubt) & (share < similar + doubt) & (classes_ != classes_[n])):
+            yield min(ids[n], ids[m]), max(ids[n], ids[m])
+
+
+def tiles(met: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, class, key, low, high, first): in which tiles a node stands, and whether in their first part.
+
+    In a bucket of several classes, the nodes outside its largest class meet each other, in tiles of the bucket. If that
+    class is big, they meet all of it, in tiles of the class, whatever the number of buckets; else it is one of the others.
     """
-    held = met.where("size > 2").join(named, "id", "left").select("id", "band", "value", F.coalesce("component", "id").alias("class"))
+    held = met.join(named, "id", "left").select("id", "value", F.coalesce("component", "id").alias("class"))
     counts = held.groupBy("value", "class").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("value").agg(F.sum("n").alias("size"), F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    single = F.col("size") <= TILE
-    few, most = F.when(single, 1).otherwise(F.ceil((F.col("size") - F.col("top")["n"]) / TILE)), F.when(single, 0).otherwise(F.ceil(F.col("top")["n"] / TILE))
-    mixed = mixed.select("value", F.col("top")["class"].alias("top"), few.cast("long").alias("few"), most.cast("long").alias("most"))
-    in_top = (F.col("class") == F.col("top")) & (F.col("most") > 0)
-    own = F.when(in_top, F.col("few") + F.pmod(F.xxhash64("id"), F.greatest("most", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "few"))
-    last = F.when(in_top, F.col("few")).otherwise(F.col("few") + F.col("most")) - 1
-    rows = held.join(mixed, "value").select("id", "class", "band", "value", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    rows = rows.select("id", "class", "band", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    key = ["value", "low", "high"]
-    rows = rows.join(nodes.select("id", "sig"), "id").repartition(*key).sortWithinPartitions(*key)
-
-    def parts(batch, final):
-        """Pairs of the batch's tiles, without its last ones unless it is final; where those begin."""
-        named_ = {c: batch.column(c).to_numpy() for c in ("id", "class", "band", "own", *key)}
-        sigs = batch.column("sig").flatten().to_numpy().reshape(-1, K)
-        new = np.zeros(max(0, batch.num_rows - 1), bool)
-        for c in key:
-            new |= np.diff(named_[c]) != 0
-        edges = [0, *(np.flatnonzero(new) + 1).tolist(), *([batch.num_rows] if final else [])]
-        found = []
-        for s, e in zip(edges, edges[1:]):
-            found += _compared(named_["own"][s:e], named_["low"][s], named_["high"][s], named_["band"][s], named_["id"][s:e], named_["class"][s:e], sigs[s:e])
-            if sum(len(f[0]) for f in found[-TILE:]) > TILE or len(found) > TILE:
-                yield _pairs(found), None
-                found = []
-        if found:
-            yield _pairs(found), None
-        yield None, edges[-1]
+    big = F.col("top")["n"] > BIG
+    mixed = mixed.select("value", F.when(big, F.col("top")["class"]).alias("top"), (F.col("size") - F.when(big, F.col("top")["n"]).otherwise(0)).alias("few"), F.when(big, F.col("classes") - 1).otherwise(F.col("classes")).alias("classes"))
+    few = cut(held.join(mixed, "value").where(~F.col("class").eqNullSafe(F.col("top"))))
+    within = few.where("classes > 1").select("id", "class", F.col("value").alias("key"), F.ceil(F.col("few") / TILE).alias("parts"))
+    within = within.withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    within = within.select("id", "class", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("own"))
+    guests = few.where("top is not null").select("id", "class", F.col("top").alias("key")).distinct()
+    hosts = named.select("id", F.col("component").alias("key"))
+    sizes = guests.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("guests")).join(hosts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("hosts")), "key")
+    sides = []
+    for rows, own, other in ((guests, "guests", "hosts"), (hosts.withColumn("class", F.col("key")), "hosts", "guests")):
+        rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        # Tiles of classes are numbered below zero, apart from those of buckets.
+        low, high = ("own", "other") if own == "guests" else ("other", "own")
+        sides.append(rows.select("id", "class", "key", (-1 - F.col(low)).alias("low"), F.col(high).alias("high"), (F.lit(0) if own == "guests" else F.lit(1)).cast("long").alias("own")))
+    first = F.when(F.col("low") < 0, F.col("own") == 0).otherwise(F.col("own") == F.col("low"))
+    return within.unionByName(sides[0]).unionByName(sides[1]).select("id", "class", "key", "low", "high", first.alias("first"))
+
+
+def crossing(met: DataFrame, named: DataFrame, sketches, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links between the classes of nodes that share a bucket, or pairs in doubt; ``sketches`` gives (id, s) of ids."""
+    placed = cut(tiles(met, named))
+    key = ["key", "low", "high"]
+    rows = placed.join(sketches(placed.select("id").distinct()), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def links_of(table: pa.Table):
+        columns = {c: table.column(c).to_numpy() for c in ("id", "class", *key)}
+        first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        items = [np.asarray(x, np.int32).view(np.uint32) for x in table.column("s").to_numpy(zero_copy_only=False)]
+        return _joined(columns["low"][0] == columns["high"][0], first, columns["id"], columns["class"], items, similar)
 
     def run(batches):
-        rest = None
+        held, at = [], None
         for batch in batches:
-            if rest is not None and rest.num_rows:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            for out, at in parts(batch, False):
-                if out is not None:
-                    yield out
-            rest = batch.slice(at)
-        if rest is not None and rest.num_rows:
-            for out, _ in parts(rest, True):
-                if out is not None:
-                    yield out
-
-    return rows.mapInArrow(run, "a bigint, b bigint, share double")
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b", "share"])
-
-
-def verified(docs: DataFrame, judged: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of judged ones whose weighted shingles are similar."""
-    pairs = judged.select("a", "b")
+            columns = [batch.column(c).to_numpy() for c in key]
+            new = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in columns:
+                new |= np.diff(c) != 0
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                tile = tuple(int(c[start]) for c in columns)
+                if tile != at and held:
+                    yield from _pairs(links_of(pa.Table.from_batches(held)))
+                    held = []
+                at = tile
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from _pairs(links_of(pa.Table.from_batches(held)))
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(found):
+    """Batches of pairs."""
+    while part := list(itertools.islice(found, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part)], names=["a", "b"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) whose weighted shingles are similar."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("copies")))
-    # Few texts are wanted: where their ids are known to be few, they are sent to the texts; else both are shuffled.
-    sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted.hint("merge")
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("id"), F.col("`text`").cast("string").alias("text")).join(sent.select("id"), "id", "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [single(*shingles(t)).view(np.int64) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "s"])
-
-    sets = cut(texts.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>"))
+    sets = _of_texts(docs, wanted.select("id"), lambda items: items.view(np.int64), "array<bigint>")
     both = F.size(F.array_intersect("s_a", "s_b"))
     for x, y in ("ab", "ba"):  # a text in many pairs is copied, and its pairs dealt to the copies
         many = wanted.select(F.col("id").alias(x), F.col("copies").alias("of"))
@@ -302,9 +345,10 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float = SIMILAR) -> DataFr
     met = cut(buckets(nodes))
     sides = [nodes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-    judged = cut(central(met).join(sides[0], "a").join(sides[1], "b").select("a", "b", (equal / K).alias("share")).where(F.col("share") >= HOPELESS))
+    judged = cut(central(met).join(sides[0], "a").join(sides[1], "b").where(equal >= HOPELESS * K).select("a", "b"))
     named = cut(components(verified(docs, judged, similar)))
-    more = cut(crossing(met, named, nodes).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    more = crossing(met, named, lambda ids: _of_texts(docs, ids, sketch, "array<int>"), similar)
+    more = cut(more.join(judged, ["a", "b"], "left_anti"))
     drop(met)
     return named.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, more, similar))
 

@@ -122,22 +122,51 @@ def test_weighted_set_as_single_items():
 
 
 def test_large_buckets_are_compared_in_tiles(monkeypatch, spark):
-    """Each pair of two classes comes once, however a bucket is dealt out, and pairs of one class don't come."""
-    monkeypatch.setattr(neardup, "TILE", 8)
+    """However buckets and classes are dealt out, all nodes that links join end in one class, and few pairs are given."""
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 20, neardup.K)
-    rows, named = [], []
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets, met, named = [], [], []
     for n in range(90):
-        sig = np.where(rng.random(neardup.K) < 0.1, rng.integers(0, 1 << 20, neardup.K), base)
-        rows.append((n, [int(x) for x in sig]))
+        own = np.where(rng.random(200) < rng.uniform(0.06, 0.14), rng.integers(0, 1 << 62, 200).astype(np.uint64), base)
+        sets.append(own)
+        met += [(n, int(v), 90) for v in range(3) if rng.random() < 0.8]
         if n < 50:
             named.append((n, 0))
-    nodes = spark.createDataFrame(rows, "id long, sig array<int>")
-    sigs = np.array([r[1] for r in rows])
-    share = (sigs[:, None] == sigs[None]).mean(axis=2)
-    want = {(a, b) for b in range(50, 90) for a in range(b) if share[a, b] >= neardup.HOPELESS}
-    got = [(r["a"], r["b"]) for r in neardup.crossing(neardup.buckets(nodes), spark.createDataFrame(named, "id long, component long"), nodes).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    of = {n: {v for m, v, _ in met if m == n} for n in range(90)}
+    similar = {(a, b) for b in range(90) for a in range(b) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    want = {(a, b) for a, b in similar if of[a] & of[b] and b >= 50}
+    assert len(want) > 20 and 3 < len(set(components_of(want | {(0, n) for n in range(50)}, 90))) < 40
+    sketches = spark.createDataFrame([(n, [int(x) for x in neardup.sketch(s)]) for n, s in enumerate(sets)], "id long, s array<int>")
+    met_, named_ = spark.createDataFrame(met, "id long, value long, size long"), spark.createDataFrame(named, "id long, component long")
+    for tile, big in ((8, 4), (8, 1_000), (1_000, 4)):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        monkeypatch.setattr(neardup, "BIG", big)
+        got = {(r["a"], r["b"]) for r in neardup.crossing(met_, named_, lambda ids: sketches).collect()}
+        classes = components_of(got | {(0, n) for n in range(50)}, 90)
+        assert got <= similar and all(classes[a] == classes[b] for a, b in want)
+        assert len(got) < 90 * (3 if tile == 1_000 else 12)
+
+
+def components_of(links, n):
+    of = list(range(n))
+    for a, b in links:
+        x, y = sorted((of[a], of[b]))
+        of = [x if v == y else v for v in of]
+    return of
+
+
+def test_cut_sketches_leave_no_link_out(monkeypatch):
+    monkeypatch.setattr(neardup, "SKETCH", 256)
+    monkeypatch.setattr(neardup, "DOUBT", 5 * 0.4 / 16)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 3_000).astype(np.uint64)
+    sets = [np.where(rng.random(3_000) < 0.002 * n, rng.integers(0, 1 << 62, 3_000).astype(np.uint64), base)[: 3_000 if n % 3 else 2_500] for n in range(40)] + [base[:200]]
+    items = [neardup.sketch(s).view(np.uint32) for s in sets]
+    ids = np.arange(41)
+    for low, own in ((True, np.ones(41, bool)), (False, ids < 15)):
+        got = components_of(neardup._joined(low, own, ids, ids, items, 0.8), 41)
+        want = {(a, b) for b in range(41) for a in range(b) if (low or own[a] != own[b]) and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+        assert want and all(got[a] == got[b] for a, b in want)
 
 
 def test_signatures_estimate_weighted_similarity():
