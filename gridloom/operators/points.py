@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid, cell
 from gridloom.operators.sample import trilinear
+from gridloom.operators.tree import _written
 
 P = ("px", "py", "pz")
 
@@ -144,6 +146,30 @@ def nearest(points: DataFrame, queries: DataFrame, radius: float, n: int) -> Dat
     return within(points, queries, radius).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def nearest_others(points: DataFrame, queries: DataFrame, n: int = 1, radius: float = 1.0) -> DataFrame:
+    """(id, other, distance, place): the n nearest other points of each query, however far; ties by id.
+
+    The radius doubles for queries that have found fewer than n, until it spans all points.
+    """
+    ends = points.select(*P).unionByName(queries.select(*P)).agg(*[(F.max(p) - F.min(p)).alias(p) for p in P]).first()
+    reach = sum((x or 0.0) ** 2 for x in ends) ** 0.5
+    order = Window.partitionBy("id").orderBy("distance", "other")
+    waiting, parts = queries.select("id", *P), []
+    while True:
+        met = within(points, waiting, radius).where("id <> other")
+        met = _written(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n))
+        if radius >= reach:
+            parts.append(met)
+            break
+        full = met.where(F.col("place") == n).select("id")
+        parts.append(met.join(full, "id", "left_semi"))
+        waiting = _written(waiting.join(full, "id", "left_anti"))
+        if waiting.isEmpty():
+            break
+        radius *= 2
+    return reduce(DataFrame.unionByName, parts)
+
+
 def moved(points: DataFrame, by: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({p: F.col(p) + d for p, d in zip(P, by)})
 
@@ -164,6 +190,5 @@ def replicated(points: DataFrame, copies: int, spread: float) -> DataFrame:
 def scattered(g: Grid, per_voxel: int, seed: int = 1) -> DataFrame:
     """Points in each active voxel, at places drawn from a hash of voxel, number and seed."""
     rows = g.on.select(*IJK, F.explode(F.sequence(F.lit(0), F.lit(per_voxel - 1))).alias("n"))
-    base = (F.col("i").cast("long") * 73856093).bitwiseXOR(F.col("j").cast("long") * 19349663).bitwiseXOR(F.col("k").cast("long") * 83492791)
-    draw = lambda m: F.pmod((base + F.col("n") * 40503 + seed + m * 7919) * 1103515245 + 12345, F.lit(65536)) / 65536.0 - 0.5
+    draw = lambda m: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *IJK, "n", F.lit(m))), 1, 8), 16, 10).cast("double") / 2.0**32 - 0.5
     return rows.select(*IJK, "n", *[(F.col(c) + draw(m)).alias(p) for m, (c, p) in enumerate(zip(IJK, P))])

@@ -61,7 +61,15 @@ def inactive_values(g: Grid, most: int = 100) -> DataFrame:
     return g.df.where("not active").select("value").distinct().orderBy("value").limit(most)
 
 
-def extremes(g: Grid, n: int = 10) -> DataFrame:
+def extrema(g: Grid) -> DataFrame:
+    """Count, least and most of active values, and the first voxel in order where each stands."""
+    at = F.struct(*IJK)
+    least, most = F.min(F.struct("value", at.alias("at"))), F.min(F.struct((-F.col("value")).alias("value"), at.alias("at")))
+    found = g.on.agg(F.count(F.lit(1)).alias("n"), least.alias("a"), most.alias("b"))
+    return found.select("n", F.col("a.value").alias("least"), (-F.col("b.value")).alias("most"), *[F.col(f"{x}.at.{c}").alias(f"{w}_{c}") for x, w in (("a", "least"), ("b", "most")) for c in IJK])
+
+
+def largest(g: Grid, n: int = 10) -> DataFrame:
     """The n active voxels of largest value; ties by coordinate."""
     return g.on.select(*IJK, "value").orderBy(F.desc("value"), *IJK).limit(n)
 

@@ -59,6 +59,15 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _forget(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`_written` has made and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        if "/grid-" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def segments(g: Grid, near: int = 6) -> DataFrame:
     """(i, j, k, si, sj, sk, n): a part is named by its least coordinate; n voxels are connected in it.
 
@@ -73,7 +82,8 @@ def segments(g: Grid, near: int = 6) -> DataFrame:
         spread = state.select(*IJK, "label", sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], "label", F.col("o.own").alias("own"))
         least = spread.groupBy(*IJK).agg(F.min("label").alias("label"), F.max("own").alias("own")).where("own").drop("own")
         jump = least.select(F.struct(*IJK).alias("label"), F.col("label").alias("next"))
-        state = _written(least.join(jump, "label", "left").select(*IJK, F.least("label", F.coalesce("next", "label")).alias("label")))
+        old, state = state, _written(least.join(jump, "label", "left").select(*IJK, F.least("label", F.coalesce("next", "label")).alias("label")))
+        _forget(old)
         now = state.agg(F.sum(F.xxhash64("label", *IJK).cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -83,13 +93,18 @@ def segments(g: Grid, near: int = 6) -> DataFrame:
 
 
 def flood_signs(g: Grid) -> Grid:
-    """Inactive voxels take the sign of the last active voxel before them on their (i, j) line; the first, of the first."""
-    line = Window.partitionBy("i", "j").orderBy("k")
-    on = F.when(F.col("active"), F.signum("value"))
-    last = F.last(on, True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(on, True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    sign = F.coalesce(last, first, F.lit(1.0))
-    return g.with_df(g.df.withColumn("value", F.when(F.col("active"), F.col("value")).otherwise(F.abs("value") * F.when(sign < 0, -1.0).otherwise(1.0))))
+    """Inactive voxels take the sign of the last active voxel before them on their line, or of the first after them.
+
+    Lines run along k first; what has no active voxel on its line takes the signs that were found along j, then along i.
+    """
+    df = g.df.withColumn("sign", F.when(F.col("active"), F.signum("value")))
+    for along in reversed(IJK):
+        line = Window.partitionBy(*[c for c in IJK if c != along]).orderBy(along)
+        last = F.last("sign", True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        first = F.first("sign", True).over(line.rowsBetween(0, Window.unboundedFollowing))
+        df = df.withColumn("sign", F.coalesce(last, first))
+    sign = F.when(F.coalesce("sign", F.lit(1.0)) < 0, -1.0).otherwise(1.0)
+    return g.with_df(df.withColumn("value", F.when(F.col("active"), F.col("value")).otherwise(F.abs("value") * sign)))
 
 
 def faces(g: Grid) -> DataFrame:

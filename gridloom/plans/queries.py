@@ -313,9 +313,9 @@ def inactive_values(spark, d):
     return stats.inactive_values(half_off(spark, d), 50)
 
 
-@query("tools_extrema", f"{WITH_CUBE} select i, j, k, value from cube order by value desc, i, j, k limit 10")
-def extrema(spark, d):
-    return stats.extremes(tables.cube(spark, d))
+@query("tools_largest_voxels", f"{WITH_CUBE} select i, j, k, value from cube order by value desc, i, j, k limit 10")
+def largest(spark, d):
+    return stats.largest(tables.cube(spark, d))
 
 
 DIRAC = "case when abs(value) < 1.5 then (1.0 + cos(value * (3.141592653589793 / 1.5))) / 3 else 0.0 end"
@@ -402,7 +402,7 @@ def segmentation(spark, d):
     return tree.segments(tables.events(spark, d, "click"))
 
 
-@query("tools_signed_flood_fill", f"{WITH_CUBE}, {HALF}, h as (select i, j, k, case when active then value - 60000 else value end as value, active from half_off), s as (select *, last_value(case when active then sign(value) end ignore nulls) over (partition by i, j order by k rows between unbounded preceding and current row) as l, first_value(case when active then sign(value) end ignore nulls) over (partition by i, j order by k rows between current row and unbounded following) as f from h) select i, j, k, {r('case when active then value else abs(value) * case when coalesce(l, f, 1) < 0 then -1.0 else 1.0 end end')} as value, active from s")
+@query("tools_signed_flood_fill", f"{WITH_CUBE}, {HALF}, s3 as (select i, j, k, case when active then value - 60000 else value end as value, active, case when active then sign(value - 60000) end as sg from half_off), " + ", ".join(f"s{n} as (select i, j, k, value, active, coalesce(last_value(sg ignore nulls) over (partition by {', '.join(c for c in IJK if c != IJK[n])} order by {IJK[n]} rows between unbounded preceding and current row), first_value(sg ignore nulls) over (partition by {', '.join(c for c in IJK if c != IJK[n])} order by {IJK[n]} rows between current row and unbounded following)) as sg from s{n + 1})" for n in (2, 1, 0)) + f" select i, j, k, {r('case when active then value else abs(value) * case when coalesce(sg, 1) < 0 then -1.0 else 1.0 end end')} as value, active from s0")
 def signed_flood_fill(spark, d):
     return shown(tree.flood_signs(half_off(spark, d).map(F.col("value") - 60000)))
 
@@ -460,15 +460,20 @@ def _jacobi(table: str) -> str:
     return f"(select i, j, k, (({FACES_SUM}) - f) / 6 as value, active, f from {near(table, stencil.FACES)})"
 
 
-@query("tools_poisson_solve", f"{WITH_CUBE}, x0 as (select i, j, k, 0.0::double as value, active, value as f from cube), " + ", ".join(f"x{n} as {_jacobi(f'x{n - 1}')}" for n in range(1, 5)) + f" select i, j, k, {r('value', 3)} as value, active from x4")
+@query("tools_poisson_jacobi", f"{WITH_CUBE}, x0 as (select i, j, k, 0.0::double as value, active, value as f from cube), " + ", ".join(f"x{n} as {_jacobi(f'x{n - 1}')}" for n in range(1, 5)) + f" select i, j, k, {r('value', 3)} as value, active from x4")
 def poisson(spark, d):
     return shown(levelset.poisson(tables.cube(spark, d), 4), 3)
 
 
-@query("tools_fast_sweeping", f"with recursive {sql.CUBE}, o(di, dj, dk) as (values {', '.join(map(str, stencil.FACES))}), walk as (select i, j, k, 0 as n from cube where i = 25 and j = 5 and k = 4 union select g.i, g.j, g.k, w.n + 1 from walk w, o, cube g where w.n < 6 and g.i = w.i + di and g.j = w.j + dj and g.k = w.k + dk) select i, j, k, cast(coalesce(min(n), 7) as double) as value, true as active from cube left join walk using (i, j, k) group by i, j, k")
+@query("tools_poisson_solve")
+def poisson_solve(spark, d):
+    return shown(levelset.poisson_solved(tables.cube(spark, d)), 2)
+
+
+@query("tools_fast_sweeping", f"with recursive {sql.CUBE}, o(di, dj, dk) as (values {', '.join(map(str, stencil.FACES))}), walk as (select i, j, k, 0 as n from cube where i = 25 and j = 5 and k = 4 union select g.i, g.j, g.k, w.n + 1 from walk w, o, cube g where w.n < 80 and g.i = w.i + di and g.j = w.j + dj and g.k = w.k + dk) select i, j, k, cast(coalesce(min(n), 1000000000) as double) as value, true as active from cube left join walk using (i, j, k) group by i, j, k")
 def fast_sweeping(spark, d):
     g = tables.cube(spark, d)
-    return levelset.distances(combine.clip_box(g, (25, 5, 4), (25, 5, 4)), g, 6).df
+    return levelset.distances(combine.clip_box(g, (25, 5, 4), (25, 5, 4)), g).df
 
 
 ADVECTED = "asked as (select (i, j, k) as id, i - 0.5 as x, j - 0.25 as y, k + 0.5 as z from cube)"
@@ -583,16 +588,19 @@ def points_sample(spark, d):
 DISTANCE = "sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz))"
 
 
-@query("points_radius_search", f"{WITH_VECTORS} select a.id, b.id as other, {r(DISTANCE)} as distance from vectors a, vectors b where a.label = 3 and {DISTANCE} <= 4.0")
+@query("points_radius_search", f"{WITH_VECTORS} select a.id, b.id as other, {r(DISTANCE)} as distance from vectors a, vectors b where a.id % 50 = 0 and a.id <> b.id and {DISTANCE} <= 4.0")
 def points_radius_search(spark, d):
     p = tables.vectors(spark, d)
-    return shown(points.within(p, p.where("label = 3"), 4.0))
+    return shown(points.within(p, p.where("id % 50 = 0"), 4.0).where("id <> other"))
+
+
+OTHERS = f"p as (select a.id, b.id as other, {DISTANCE} as distance from vectors a, vectors b where a.id % 50 = 0 and a.id <> b.id)"
 
 
-@query("points_closest", f"{WITH_VECTORS}, p as (select a.id, b.id as other, {DISTANCE} as distance from vectors a, vectors b where a.label = 3 and b.label <> 3 and {DISTANCE} <= 6.0) select id, other, {r('distance')} as distance from p qualify row_number() over (partition by id order by distance, other) = 1")
+@query("points_closest", f"{WITH_VECTORS}, {OTHERS} select id, other, {r('distance')} as distance from p qualify row_number() over (partition by id order by distance, other) = 1")
 def points_closest(spark, d):
     p = tables.vectors(spark, d)
-    return shown(points.closest(p.where("label <> 3"), p.where("label = 3"), 6.0))
+    return shown(points.nearest_others(p, p.where("id % 50 = 0"), 1, 4.0).drop("place"))
 
 
 @query("points_move", f"{WITH_VECTORS} select id, label, {r('px + 1.5')} as px, {r('py - 0.25')} as py, {r('pz + 4.0')} as pz from vectors")
