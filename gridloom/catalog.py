@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import motion  # noqa: F401  registers its queries
+from gridloom.plans import further, motion  # noqa: F401  register their queries
 from gridloom.plans import queries as plans
 
 

@@ -192,3 +192,76 @@ def scattered(g: Grid, per_voxel: int, seed: int = 1) -> DataFrame:
     rows = g.on.select(*IJK, F.explode(F.sequence(F.lit(0), F.lit(per_voxel - 1))).alias("n"))
     draw = lambda m: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *IJK, "n", F.lit(m))), 1, 8), 16, 10).cast("double") / 2.0**32 - 0.5
     return rows.select(*IJK, "n", *[(F.col(c) + draw(m)).alias(p) for m, (c, p) in enumerate(zip(IJK, P))])
+
+
+def deleted(points: DataFrame, groups: list[str], invert: bool = False, drop: bool = True) -> DataFrame:
+    """Points without those of any of the groups (or only those); the groups' columns go, too."""
+    member = reduce(Column.__or__, [F.col(f"grp_{n}") for n in groups])
+    kept = points.where(member if invert else ~member)
+    return kept.drop(*[f"grp_{n}" for n in groups]) if drop else kept
+
+
+def attributes(points: DataFrame, append: dict[str, object] = {}, rename: dict[str, str] = {}, drop: list[str] = []) -> DataFrame:  # noqa: B006
+    """Attributes added with one value, renamed, and dropped."""
+    return points.withColumns({n: F.lit(v) for n, v in append.items()}).drop(*drop).withColumnsRenamed(rename)
+
+
+def coded(points: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Points with a text attribute as numbers, and the table (code, text) of these; null is 0."""
+    texts = points.select(name).where(F.col(name).isNotNull()).distinct()
+    codes = texts.select(F.row_number().over(Window.orderBy(name)).cast("int").alias("code"), F.col(name).alias("text"))
+    return points.join(codes.withColumnRenamed("text", name), name, "left").drop(name).withColumn(name, F.coalesce("code", F.lit(0))).drop("code"), codes
+
+
+def unit_coded(x: Column, y: Column, z: Column, bits: int = 8) -> list[Column]:
+    """A direction by two whole numbers: the vector on an octahedron, its lower half folded out."""
+    total = F.abs(x) + F.abs(y) + F.abs(z)
+    u, v = x / total, y / total
+    fold = lambda a, b: (F.lit(1.0) - F.abs(b)) * F.when(a < 0, -1.0).otherwise(1.0)
+    top = (1 << bits) - 1
+    return [F.floor((F.when(z < 0, fold(a, b)).otherwise(a) * 0.5 + 0.5) * top + 0.5).cast("int") for a, b in ((u, v), (v, u))]
+
+
+def unit_decoded(u: Column, v: Column, bits: int = 8) -> list[Column]:
+    top = (1 << bits) - 1
+    a, b = u * 2.0 / top - 1.0, v * 2.0 / top - 1.0
+    z = F.lit(1.0) - F.abs(a) - F.abs(b)
+    back = lambda p, q: F.when(z < 0, (F.lit(1.0) - F.abs(q)) * F.when(p < 0, -1.0).otherwise(1.0)).otherwise(p)
+    x, y = back(a, b), back(b, a)
+    n = F.sqrt(x * x + y * y + z * z)
+    return [x / n, y / n, z / n]
+
+
+def principal_spread(points: DataFrame) -> DataFrame:
+    """(e1, e2, e3): variances along the principal axes, the largest first, in closed form."""
+    c = centre(points)
+    xx, xy, xz, yy, yz, zz = (F.col(n) for n in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
+    q = (xx + yy + zz) / 3
+    a, b, d = xx - q, yy - q, zz - q
+    p = F.sqrt((a * a + b * b + d * d + (xy * xy + xz * xz + yz * yz) * 2) / 6)
+    det = a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)
+    angle = F.acos(F.greatest(F.least(det / (p * p * p * 2), F.lit(1.0)), F.lit(-1.0))) / 3
+    first, last = q + p * 2 * F.cos(angle), q + p * 2 * F.cos(angle + 2.0943951023931953)
+    return c.select(first.alias("e1"), (q * 3 - first - last).alias("e2"), last.alias("e3"))
+
+
+def advected(points: DataFrame, velocity, step: float, steps: int = 1) -> DataFrame:
+    """Points moved through a field: ``velocity`` gives columns of a position's; by the fourth-order rule of Runge and Kutta."""
+    for _ in range(steps):
+        at = [F.col(p) for p in P]
+        slopes = []
+        for n, share in enumerate((0.0, 0.5, 0.5, 1.0), 1):
+            here = [F.col(f"_{p}{n - 1}") * (share * step) + a if n > 1 else a for p, a in zip(P, at)]
+            points = points.withColumns({f"_{p}{n}": v for p, v in zip(P, velocity(*here))})
+            slopes.append([F.col(f"_{p}{n}") for p in P])
+        moved_ = {p: at[m] + (slopes[0][m] + slopes[1][m] * 2 + slopes[2][m] * 2 + slopes[3][m]) * (step / 6) for m, p in enumerate(P)}
+        points = points.withColumns(moved_).drop(*[f"_{p}{n}" for p in P for n in range(1, 5)])
+    return points
+
+
+def enright(x: Column, y: Column, z: Column) -> list[Column]:
+    """Velocity of the divergence-free test field on the unit cube, at full strength."""
+    pi = 3.141592653589793
+    s = lambda v: F.sin(v * pi)
+    t = lambda v: F.sin(v * (2 * pi))
+    return [s(x) * s(x) * t(y) * t(z) * 2.0, -s(y) * s(y) * t(x) * t(z), -s(z) * s(z) * t(x) * t(y)]

@@ -8,7 +8,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each family; tools/compare.py runs all.
 SOME = [
     "flagship", "tools_comp_div", "tools_csg_difference", "tree_topology_union", "tools_merge_first", "tools_clip_mask", "tree_fill", "tools_deactivate", "tools_gradient_inactive_neighbours", "tools_mean_curvature", "tools_curl", "tools_filter_mean", "tools_dilate_18", "tools_erode_26",
-    "tools_statistics", "nano_grid_stats", "tools_level_set_measure", "tools_box_sampler", "tools_quadratic_sampler", "tools_prune", "tree_voxelize", "tools_multires_restrict", "tools_multires_prolong", "tools_segmentation", "tools_signed_flood_fill", "tools_poisson_solve", "tools_fast_sweeping",
+    "tools_statistics", "nano_grid_stats", "tools_level_set_measure", "tools_box_sampler", "tools_quadratic_sampler", "tools_prune", "tree_voxelize", "tools_multires_restrict", "tools_multires_prolong", "tools_segmentation", "tools_signed_flood_fill", "tools_poisson_jacobi", "tools_fast_sweeping",
+    "tools_change_background", "tools_set_value_on_mult", "tools_active_in_boxes", "tools_extrema", "tools_prune_level_set", "tools_euler_characteristic", "tools_volume_to_mesh_vertices", "tools_volume_to_mesh_quads", "tools_level_set_rebuild", "tools_particle_trails", "tools_mesh_to_unsigned_distance", "tools_level_set_icosahedron", "tools_topology_to_level_set",
+    "points_delete", "points_string_codes", "points_principal_spread", "points_advect_runge_kutta", "points_rasterize_smooth_spheres", "ax_exponents_and_angles", "ax_volume_functions",
     "points_offsets", "points_level_set_filter", "points_rasterize_mean", "points_radius_search", "points_closest", "ax_scalar_functions", "ax_matrix_functions", "ax_colour_round_trip", "stream_windowed_voxels",
     "math_ray_voxels", "math_ray_hits", "math_ray_integral", "tools_active_runs", "tools_grid_transform", "tools_level_set_normalise", "tools_level_set_morph", "tools_particles_to_level_set", "math_gradient_forward", "points_nearest", "ax_modulo_functions", "ax_matrix_inverse", "ax_sort_functions", "ax_leaf_offsets",
 ]
