@@ -1,7 +1,6 @@
 """Solvers and searches against brute force, and meshes' properties."""
 
 import numpy as np
-from gridloom.functions import scalar  # noqa: F401  the package is importable on its own
 from gridloom.model import Grid, grid
 from gridloom.operators import levelset, points, surface
 from pyspark.sql import functions as F
