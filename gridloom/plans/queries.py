@@ -699,4 +699,4 @@ def windowed_voxels(spark, d):
 def flagship(spark, d):
     """Two grids summed, and the steepest voxels of the sum."""
     summed = combine.add(tables.by_flag(spark, d, "A"), tables.by_flag(spark, d, "R"))
-    return shown(stats.extremes(stencil.norm(summed), 50), 3)
+    return shown(stats.largest(stencil.norm(summed), 50), 3)
