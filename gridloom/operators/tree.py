@@ -53,7 +53,10 @@ def finer(g: Grid) -> Grid:
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the shared folder."""
     spark = df.sparkSession
-    where = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    where = (shared or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
     path = f"{where}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
