@@ -12,6 +12,10 @@ from gridloom.model import IJK, LEAF, Grid, node
 from gridloom.operators.stencil import CUBE, FACES, NEAR, Offset
 
 
+#: Parts above one in this many voxels are looked up in a broadcast table, which so has at most as many rows.
+LARGE_PARTS = 1000
+
+
 def prune(g: Grid, bits: int = LEAF, tolerance: float = 0.0) -> DataFrame:
     """(i, j, k, level, value, active): full nodes whose voxels agree become a tile of their median; others stay."""
     keyed = g.df.select(*IJK, "value", "active", *node(bits))
@@ -79,20 +83,38 @@ def segments(g: Grid, near: int = 6) -> DataFrame:
     """
     ids = g.on.select(*IJK, F.struct(*IJK).alias("label"))
     state, before = _written(ids), None
+    most = max(1, state.count() // LARGE_PARTS)
     offsets: list[Offset] = [(0, 0, 0), *NEAR[near]]
     while True:
         sent = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)], F.lit(n == 0).alias("own")) for n, o in enumerate(offsets)]))
         spread = state.select(*IJK, "label", sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], "label", F.col("o.own").alias("own"))
         least = spread.groupBy(*IJK).agg(F.min("label").alias("label"), F.max("own").alias("own")).where("own").drop("own")
+        large = _large(state, most).join(state.select(F.struct(*IJK).alias("label"), F.col("label").alias("next")), "label").select("label", "next")
         jump = least.select(F.struct(*IJK).alias("label"), F.col("label").alias("next"))
-        old, state = state, _written(least.join(jump, "label", "left").select(*IJK, F.least("label", F.coalesce("next", "label")).alias("label")))
+        old, state = state, _written(_looked_up(least, large, jump, "next").select(*IJK, F.least("label", F.coalesce("next", "label")).alias("label")))
         _forget(old)
         now = state.agg(F.sum(F.xxhash64("label", *IJK).cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
     sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return state.join(sizes, "label").select(*IJK, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
+    return _looked_up(state, sizes.where(F.col("n") > most), sizes, "n").select(*IJK, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
+
+
+def _large(state: DataFrame, most: int) -> DataFrame:
+    """Labels of more than ``most`` voxels; where that is a share of all, they are fewer than one by the share."""
+    return state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("label")
+
+
+def _looked_up(voxels: DataFrame, large: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Voxels with what a table says of their label, large labels from a broadcast table of at most LARGE_PARTS rows.
+
+    A voxel of a large label goes to the join by its own place, so that no task gets a whole label; what it finds there
+    gives way to what the broadcast table said.
+    """
+    told = voxels.join(F.broadcast(large.select("label", F.col(name).alias("of_large"))), "label", "left")
+    keyed = told.withColumn("key", F.when(F.col("of_large").isNull(), F.col("label")).otherwise(F.struct(*IJK)))
+    return keyed.join(table.select(F.col("label").alias("key"), F.col(name).alias("of_key")), "key", "left").select(*IJK, "label", F.coalesce("of_large", "of_key").alias(name))
 
 
 def flood_signs(g: Grid) -> Grid:
