@@ -72,17 +72,17 @@ def _slope(outside: str) -> str:
     return f"sqrt(0.0 + {' + '.join(f'({_godunov(n)})' for n in range(3))})".replace("value > 0", outside)
 
 
-@query("tools_level_set_normalise", f"with {BALL} select i, j, k, {r(f'value - value / sqrt(value * value + 1.0) * ({_slope("value > 0")} - 1.0) * 0.3')} as value, active from {near('ball', stencil.FACES, 3.0)}")
+@query("tools_level_set_normalise", f"with {BALL} select i, j, k, {r(f'value - value / sqrt(value * value + 1.0) * ({_slope("value > 0")} - 1.0) * 0.3')} as value, active from {near('ball', stencil.FACES, 1.5)}")
 def level_set_normalise(spark, d):
-    return shown(levelset.normalised(ball(spark)))
+    return shown(levelset.normalised(ball(spark, d)))
 
 
 OTHER = sql.sphere(24, (12.5, 12.0, 11.0), 6.0, 3.0, "other")
 
 
-@query("tools_level_set_morph", f"with {BALL}, {OTHER}, n as (select b.*, coalesce(o.value, 3.0) as speed from {near('ball', stencil.FACES, 3.0)} b left join other o using (i, j, k)) select i, j, k, {r(f'value - speed * {_slope("speed > 0")} * 0.3')} as value, active from n")
+@query("tools_level_set_morph", f"with {BALL}, {OTHER}, n as (select b.*, coalesce(o.value, 3.0) as speed from {near('ball', stencil.FACES, 1.5)} b left join other o using (i, j, k)) select i, j, k, {r(f'value - speed * {_slope("speed > 0")} * 0.3')} as value, active from n")
 def level_set_morph(spark, d):
-    return shown(levelset.morphed(ball(spark), levelset.sphere(spark, 24, (12.5, 12.0, 11.0), 6.0)))
+    return shown(levelset.morphed(ball(spark, d), levelset.sphere(spark, 24, (12.5, 12.0, 11.0), 6.0)))
 
 
 def _reach(p: str) -> str:
@@ -99,7 +99,7 @@ def particles_to_level_set(spark, d):
 
 for which, step in (("forward", 1), ("backward", -1)):
     parts = ", ".join(f"{r(f'({stencil.name(stencil.axis(n, step))} - value) * {step}')} as {c}" for n, c in enumerate(("gx", "gy", "gz")))
-    query(f"math_gradient_{which}", f"with {BALL} select i, j, k, {parts} from {near('ball', [stencil.axis(n, step) for n in range(3)], 3.0)}")(lambda spark, d, step=step: shown(stencil.one_sided(ball(spark), step)))
+    query(f"math_gradient_{which}", f"with {BALL} select i, j, k, {parts} from {near('ball', [stencil.axis(n, step) for n in range(3)], 1.5)}")(lambda spark, d, step=step: shown(stencil.one_sided(ball(spark, d), step)))
 
 
 @query("points_nearest", f"{WITH_VECTORS}, {OTHERS}, o as (select *, cast(row_number() over (partition by id order by distance, other) as int) as place from p) select id, other, {r('distance')} as distance, place from o where place <= 4")

@@ -150,16 +150,17 @@ def laplacian(spark, d):
 
 
 CLOSEST = ", ".join(f"{r(f'{c} - value * ({diff(n)})')} as {x}" for n, (c, x) in enumerate(zip("ijk", "xyz")))
-BALL = sql.sphere(24, (11.8, 12.2, 11.7), 7.3, 3.0)
+#: A level set from a whole table: the band of spheres around all vectors.
+BALL = f"{sql.VECTORS}, {sql.BALLS}"
 
 
-def ball(spark) -> Grid:
-    return levelset.sphere(spark, 24, (11.8, 12.2, 11.7), 7.3)
+def ball(spark, d) -> Grid:
+    return levelset.particles(tables.vectors(spark, d), F.lit(1.0) + F.col("label") * 0.25, 1.5)
 
 
-@query("tools_closest_point", f"with {BALL} select i, j, k, {CLOSEST} from {near('ball', stencil.FACES, 3.0)}")
+@query("tools_closest_point", f"with {BALL} select i, j, k, {CLOSEST} from {near('ball', stencil.FACES, 1.5)}")
 def closest_point(spark, d):
-    return shown(stencil.closest_point(ball(spark)))
+    return shown(stencil.closest_point(ball(spark, d)))
 
 
 def _second(n: int) -> str:
@@ -173,12 +174,12 @@ def _mixed(a: int, b: int) -> str:
 
 @query(
     "tools_mean_curvature",
-    f"""with {BALL}, e as (select *, {diff(0)} as x, {diff(1)} as y, {diff(2)} as z, {_second(0)} as xx, {_second(1)} as yy, {_second(2)} as zz, {_mixed(0, 1)} as xy, {_mixed(0, 2)} as xz, {_mixed(1, 2)} as yz from {near('ball', stencil.EDGES, 3.0)}),
+    f"""with {BALL}, e as (select *, {diff(0)} as x, {diff(1)} as y, {diff(2)} as z, {_second(0)} as xx, {_second(1)} as yy, {_second(2)} as zz, {_mixed(0, 1)} as xy, {_mixed(0, 2)} as xz, {_mixed(1, 2)} as yz from {near('ball', stencil.EDGES, 1.5)}),
     f as (select *, x * x + y * y + z * z as s from e)
     select i, j, k, case when s > 1e-12 then {r('(x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - (x * y * xy + x * z * xz + y * z * yz) * 2) / (pow(s, 1.5) * 2)')} else 0.0 end as value, active from f""",
 )
 def mean_curvature(spark, d):
-    return shown(stencil.mean_curvature(ball(spark)))
+    return shown(stencil.mean_curvature(ball(spark, d)))
 
 
 def _godunov(n: int) -> str:
@@ -186,9 +187,9 @@ def _godunov(n: int) -> str:
     return f"case when value > 0 then greatest(pow(greatest({b}, 0.0), 2.0), pow(least({a}, 0.0), 2.0)) else greatest(pow(least({b}, 0.0), 2.0), pow(greatest({a}, 0.0), 2.0)) end"
 
 
-@query("math_upwind_norm", f"with {BALL} select i, j, k, {r(f'sqrt(0.0 + ({_godunov(0)}) + ({_godunov(1)}) + ({_godunov(2)}))')} as value, active from {near('ball', stencil.FACES, 3.0)}")
+@query("math_upwind_norm", f"with {BALL} select i, j, k, {r(f'sqrt(0.0 + ({_godunov(0)}) + ({_godunov(1)}) + ({_godunov(2)}))')} as value, active from {near('ball', stencil.FACES, 1.5)}")
 def upwind_norm(spark, d):
-    return shown(stencil.upwind_norm(ball(spark)))
+    return shown(stencil.upwind_norm(ball(spark, d)))
 
 
 VECTOR = "vec as (select i, j, k, max(case when event_type = 'click' then value end) as vx0, max(case when event_type = 'purchase' then value end) as vy0, max(case when event_type = 'view' then value end) as vz0 from (select *, 'click' as event_type from click union all select *, 'purchase' from purchase union all select *, 'view' from view) group by i, j, k), v as (select i, j, k, coalesce(vx0, 0.0) as vx, coalesce(vy0, 0.0) as vy, coalesce(vz0, 0.0) as vz, true as active from vec)"
@@ -266,9 +267,9 @@ def close(spark, d):
     return stencil.closed(tables.events(spark, d, "click")).df
 
 
-@query("tools_surface_mask", f"with {BALL} select i, j, k, 1.0::double as value, active from {near('ball', stencil.FACES, 3.0)} where {' or '.join(f'({stencil.name(o)} < 0) <> (value < 0)' for o in stencil.FACES)}")
+@query("tools_surface_mask", f"with {BALL} select i, j, k, 1.0::double as value, active from {near('ball', stencil.FACES, 1.5)} where {' or '.join(f'({stencil.name(o)} < 0) <> (value < 0)' for o in stencil.FACES)}")
 def surface_mask(spark, d):
-    return stencil.surface_mask(ball(spark)).df
+    return stencil.surface_mask(ball(spark, d)).df
 
 
 # --- reductions --------------------------------------------------------------------------------------------
@@ -321,14 +322,14 @@ def largest(spark, d):
 DIRAC = "case when abs(value) < 1.5 then (1.0 + cos(value * (3.141592653589793 / 1.5))) / 3 else 0.0 end"
 
 
-@query("tools_level_set_measure", f"with {BALL} select {r(f'sum(({DIRAC}) * {NORM})', 4)} as area, {r(f'sum(({DIRAC}) * (i * ({diff(0)}) + j * ({diff(1)}) + k * ({diff(2)}))) / 3', 4)} as volume from {near('ball', stencil.FACES, 3.0)}")
+@query("tools_level_set_measure", f"with {BALL} select {r(f'sum(({DIRAC}) * {NORM})', 4)} as area, {r(f'sum(({DIRAC}) * (i * ({diff(0)}) + j * ({diff(1)}) + k * ({diff(2)}))) / 3', 4)} as volume from {near('ball', stencil.FACES, 1.5)}")
 def measure(spark, d):
-    return shown(stats.measure(ball(spark)), 4)
+    return shown(stats.measure(ball(spark, d)), 4)
 
 
-@query("tools_op_statistics", f"with {BALL}, n as (select {NORM} as value from {near('ball', stencil.FACES, 3.0)}) select {r('avg(value)')} as mean, {r('max(abs(value - 1))')} as most from n")
+@query("tools_op_statistics", f"with {BALL}, n as (select {NORM} as value from {near('ball', stencil.FACES, 1.5)}) select {r('avg(value)')} as mean, {r('max(abs(value - 1))')} as most from n")
 def steepness(spark, d):
-    return shown(levelset.steepness(ball(spark)))
+    return shown(levelset.steepness(ball(spark, d)))
 
 
 # --- samples -----------------------------------------------------------------------------------------------
@@ -413,9 +414,9 @@ def volume_to_faces(spark, d):
 
 
 # --- level sets --------------------------------------------------------------------------------------------
-@query("tools_level_set_sphere", f"with {BALL} select i, j, k, {r('value')} as value, active from ball")
+@query("tools_level_set_sphere", f"with {sql.sphere(24, (11.8, 12.2, 11.7), 7.3, 3.0)} select i, j, k, {r('value')} as value, active from ball")
 def level_set_sphere(spark, d):
-    return shown(ball(spark))
+    return shown(levelset.sphere(spark, 24, (11.8, 12.2, 11.7), 7.3))
 
 
 Q = [f"(abs({c} - 12.0) - 6.5)" for c in "ijk"]
@@ -431,29 +432,29 @@ def level_set_torus(spark, d):
     return shown(levelset.torus(spark, 31, 15.2, 9.0, 3.4))
 
 
-@query("tools_sdf_to_fog", f"with {BALL} select i, j, k, {r('least(value / -2.5, 1.0)')} as value, true as active from ball where value < 0")
+@query("tools_sdf_to_fog", f"with {BALL} select i, j, k, {r('least(value / -1.25, 1.0)')} as value, true as active from ball where value < 0")
 def sdf_to_fog(spark, d):
-    return shown(levelset.fog(ball(spark), 2.5))
+    return shown(levelset.fog(ball(spark, d), 1.25))
 
 
 @query("tools_interior_mask", f"with {BALL} select i, j, k, 1.0::double as value, true as active from ball where value < 0.5")
 def interior_mask(spark, d):
-    return levelset.interior(ball(spark), 0.5).df
+    return levelset.interior(ball(spark, d), 0.5).df
 
 
 @query("tools_level_set_offset", f"with {BALL} select i, j, k, {r('value - 0.75')} as value, active from ball")
 def level_set_offset(spark, d):
-    return shown(levelset.offset(ball(spark), 0.75))
+    return shown(levelset.offset(ball(spark, d), 0.75))
 
 
-@query("tools_level_set_laplacian_flow", f"with {BALL}, a as (select i, j, k, value + (({FACES_SUM}) - value * 6) * (1.0 / 6) as value, active from {near('ball', stencil.FACES, 3.0)}) select i, j, k, {r(f'value + (({FACES_SUM}) - value * 6) * (1.0 / 6)')} as value, active from {near('a', stencil.FACES, 3.0)}")
+@query("tools_level_set_laplacian_flow", f"with {BALL}, a as (select i, j, k, value + (({FACES_SUM}) - value * 6) * (1.0 / 6) as value, active from {near('ball', stencil.FACES, 1.5)}) select i, j, k, {r(f'value + (({FACES_SUM}) - value * 6) * (1.0 / 6)')} as value, active from {near('a', stencil.FACES, 1.5)}")
 def laplacian_flow(spark, d):
-    return shown(levelset.laplacian_flow(ball(spark), 2))
+    return shown(levelset.laplacian_flow(ball(spark, d), 2))
 
 
 @query("tools_level_set_curvature_flow")
 def curvature_flow(spark, d):
-    return shown(levelset.curvature_flow(ball(spark)))
+    return shown(levelset.curvature_flow(ball(spark, d)))
 
 
 def _jacobi(table: str) -> str:

@@ -10,6 +10,9 @@ VECTORS = "vectors as (select vec_id as id, cast(embedding[1] as double) * 100 p
 ITEMS = "items as (select l_orderkey * 8 + l_linenumber as id, l_quantity px, l_extendedprice / 1000 py, l_partkey / 40.0 pz, l_discount discount, l_tax tax, l_returnflag flag, l_linestatus status from lineitem)"
 LOCATED = "located as (select *, cast(floor(px + 0.5) as int) i, cast(floor(py + 0.5) as int) j, cast(floor(pz + 0.5) as int) k from {0})"
 
+#: Narrow band of spheres around the vectors; a sphere's rows are its box.
+BALLS = "balls as (select px, py, pz, 1.0 + label * 0.25 as r from vectors), ball as (select i, j, k, value, true as active from (select i, j, k, min(sqrt((i - px) * (i - px) + (j - py) * (j - py) + (k - pz) * (k - pz)) - r) as value from (select *, unnest(range(cast(ceil(pz - (r + 1.5)) as int), cast(floor(pz + (r + 1.5)) as int) + 1)) as k from (select *, unnest(range(cast(ceil(py - (r + 1.5)) as int), cast(floor(py + (r + 1.5)) as int) + 1)) as j from (select *, unnest(range(cast(ceil(px - (r + 1.5)) as int), cast(floor(px + (r + 1.5)) as int) + 1)) as i from balls))) group by i, j, k) where abs(value) < 1.5)"
+
 
 def flag(f: str) -> str:
     return f"{f.lower()} as (select cast(floor(l_quantity) as int) i, cast(floor(l_extendedprice / 2500) as int) j, cast(l_partkey % 50 as int) k, cast(sum(cast(floor(l_extendedprice * 100 + 0.5) as bigint)) as double) / 100 as value, true as active from lineitem where l_returnflag = '{f}' group by all)"
