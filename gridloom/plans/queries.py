@@ -172,12 +172,11 @@ def _mixed(a: int, b: int) -> str:
     return f"(({at(1, 1)} - {at(1, -1)} - {at(-1, 1)} + {at(-1, -1)}) / 4)"
 
 
-@query(
-    "tools_mean_curvature",
-    f"""with {BALL}, e as (select *, {diff(0)} as x, {diff(1)} as y, {diff(2)} as z, {_second(0)} as xx, {_second(1)} as yy, {_second(2)} as zz, {_mixed(0, 1)} as xy, {_mixed(0, 2)} as xz, {_mixed(1, 2)} as yz from {near('ball', stencil.EDGES, 1.5)}),
-    f as (select *, x * x + y * y + z * z as s from e)
-    select i, j, k, case when s > 1e-12 then {r('(x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - (x * y * xy + x * z * xz + y * z * yz) * 2) / (pow(s, 1.5) * 2)')} else 0.0 end as value, active from f""",
-)
+BENT = f"""e as (select *, {diff(0)} as x, {diff(1)} as y, {diff(2)} as z, {_second(0)} as xx, {_second(1)} as yy, {_second(2)} as zz, {_mixed(0, 1)} as xy, {_mixed(0, 2)} as xz, {_mixed(1, 2)} as yz from {near('ball', stencil.EDGES, 1.5)}),
+    f as (select *, x * x + y * y + z * z as s from e), bent as (select i, j, k, value, active, s, case when s > 1e-12 then (x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - (x * y * xy + x * z * xz + y * z * yz) * 2) / (pow(s, 1.5) * 2) else 0.0 end as bend from f)"""
+
+
+@query("tools_mean_curvature", f"with {BALL}, {BENT} select i, j, k, {r('bend')} as value, active from bent")
 def mean_curvature(spark, d):
     return shown(stencil.mean_curvature(ball(spark, d)))
 
@@ -362,7 +361,17 @@ def quadratic_sampler(spark, d):
     return shown(sample.quadratic(tables.cube(spark, d), asked(spark, d)), 3)
 
 
-@query("tools_staggered_sampler")
+def _shifted(n: int) -> str:
+    return ", ".join(f"{a} + {0.5 if m == n else 0.0} as {a}" for m, a in enumerate("xyz"))
+
+
+STAGGERED = ", ".join(
+    f"at{n} as (select id, {_shifted(n)} from asked), s{n} as (select id, value as v{a} from (with {_weighted(product((0, 1), repeat=3), {0: '(1 - {0})', 1: '{0}'}).replace('from asked cross join o left join cube g', f'from at{n} cross join o left join {t} g')}))"
+    for n, (a, t) in enumerate(zip("xyz", ("cube", "a", "r")))
+)
+
+
+@query("tools_staggered_sampler", f"{WITH_POINTS}, {sql.CUBE}, {sql.flag('A')}, {sql.flag('R')}, {ASKED}, {STAGGERED} select * from s0 join s1 using (id) join s2 using (id)")
 def staggered_sampler(spark, d):
     return shown(sample.staggered({"x": tables.cube(spark, d), "y": tables.by_flag(spark, d, "A"), "z": tables.by_flag(spark, d, "R")}, asked(spark, d)), 3)
 
@@ -452,7 +461,7 @@ def laplacian_flow(spark, d):
     return shown(levelset.laplacian_flow(ball(spark, d), 2))
 
 
-@query("tools_level_set_curvature_flow")
+@query("tools_level_set_curvature_flow", f"with {BALL}, {BENT} select i, j, k, {r('value + bend * sqrt(s) * 0.25')} as value, active from bent")
 def curvature_flow(spark, d):
     return shown(levelset.curvature_flow(ball(spark, d)))
 
@@ -619,7 +628,11 @@ def points_replicate(spark, d):
     return shown(points.replicated(tables.vectors(spark, d), 3, 0.2))
 
 
-@query("points_scatter")
+def _draw(n: int) -> str:
+    return f"(cast('0x' || substr(md5(concat_ws(':', 1, i, j, k, n, {n})), 1, 8) as bigint) / 4294967296.0::double - 0.5)"
+
+
+@query("points_scatter", f"{WITH_CUBE}, n as (select i, j, k, cast(range as int) as n from cube, range(4)) select i, j, k, n, " + ", ".join(f"{r(f'{c} + {_draw(m)}')} as p{a}" for m, (c, a) in enumerate(zip(IJK, "xyz"))) + " from n")
 def points_scatter(spark, d):
     return shown(points.scattered(tables.cube(spark, d), 4))
 
