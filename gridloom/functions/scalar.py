@@ -188,3 +188,29 @@ def number(text: Column) -> Column:
 
 def _lit(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
+
+
+def multiply4(a: list[Column], b: list[Column]) -> list[Column]:
+    """Product of 4 x 4 matrices by rows."""
+    return [a[4 * r] * b[c] + a[4 * r + 1] * b[4 + c] + a[4 * r + 2] * b[8 + c] + a[4 * r + 3] * b[12 + c] for r in range(4) for c in range(4)]
+
+
+def transpose4(m: list[Column]) -> list[Column]:
+    return [m[4 * c + r] for r in range(4) for c in range(4)]
+
+
+def trace4(m: list[Column]) -> Column:
+    return m[0] + m[5] + m[10] + m[15]
+
+
+def determinant4(m: list[Column]) -> Column:
+    """Along the first row, of a 4 x 4 matrix."""
+    parts = [m[c] * determinant([m[4 * r + k] for r in range(1, 4) for k in range(4) if k != c]) for c in range(4)]
+    return parts[0] - parts[1] + parts[2] - parts[3]
+
+
+def transform4(m: list[Column], v: tuple[Column, ...]) -> list[Column]:
+    """A row vector (x, y, z, 1) times a 4 x 4 matrix, divided by what comes out last; the point itself where that is 0."""
+    x, y, z = v
+    out = [x * m[c] + y * m[4 + c] + z * m[8 + c] + m[12 + c] for c in range(4)]
+    return [F.when(out[3] == 0, own).otherwise(F.try_divide(e, out[3])) for own, e in zip(v, out[:3])]

@@ -128,3 +128,19 @@ def deactivate(g: Grid, value: float, tolerance: float = 0.0) -> Grid:
 def mask(g: Grid) -> Grid:
     """Active voxels, each with value 1."""
     return Grid(g.on.select(*IJK, F.lit(1.0).alias("value"), F.lit(True).alias("active")), 0.0)
+
+
+def merge_csg(grids: list[Grid], kind: str = "union") -> Grid:
+    """Union, intersection or difference (the first less all others) of many level sets by one aggregation.
+
+    A grid without a row at a coordinate counts with its background there, inactive. Active where the grid that wins
+    is, or one of those that do.
+    """
+    flip = [-1.0 if kind == "difference" and n else 1.0 for n in range(len(grids))]
+    ends = [g.background * s for g, s in zip(grids, flip)]
+    union = kind == "union"
+    state = F.col("active") != F.lit(union)
+    rows = reduce(DataFrame.unionByName, [g.df.select(*IJK, (F.col("value") * s).alias("value"), state.alias("state"), F.lit(n).alias("n")) for n, (g, s) in enumerate(zip(grids, flip))])
+    own = [F.coalesce(F.max(F.when(F.col("n") == n, F.struct("value", "state"))), F.struct(F.lit(e).alias("value"), F.lit(union).alias("state"))) for n, e in enumerate(ends)]
+    best = rows.groupBy(*IJK).agg((F.array_min if union else F.array_max)(F.array(*own)).alias("best"))
+    return Grid(best.select(*IJK, "best.value", (F.col("best.state") != F.lit(union)).alias("active")), (min if union else max)(ends))

@@ -177,3 +177,24 @@ def particles(points: DataFrame, radius: Column, half: float = 3.0) -> Grid:
     away = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) - F.col("r")
     nearest = rows.groupBy(*IJK).agg(F.min(away).alias("value"))
     return Grid(nearest.where(F.abs("value") < half).withColumn("active", F.lit(True)), half)
+
+
+def trimmed(g: Grid, half: float) -> Grid:
+    """The band made narrower: voxels at or beyond ``half`` go, and the background follows."""
+    return Grid(g.df.where(F.abs("value") < half), half)
+
+
+def tracked(g: Grid, half: float, steps: int = 1) -> Grid:
+    """Upkeep after a motion: slope 1 again, then the band trimmed to ``half``."""
+    return trimmed(normalised(g, steps), half)
+
+
+def flowed(g: Grid, velocity, time: float) -> Grid:
+    """An upwind step of a level set in a field: ``velocity`` gives columns of a position's."""
+    d = gather(g, FACES).withColumns({f"u{c}": u for c, u in zip(IJK, velocity(*[F.col(c).cast("double") for c in IJK]))})
+    zero, change = F.lit(0.0), F.lit(0.0)
+    for n, c in enumerate(IJK):
+        ahead, back = (tuple(s * (m == n) for m in range(3)) for s in (1, -1))
+        u = F.col(f"u{c}")
+        change = change + F.greatest(u, zero) * (F.col("value") - F.col(name(back))) + F.least(u, zero) * (F.col(name(ahead)) - F.col("value"))
+    return g.with_df(d.withColumn("value", F.col("value") - change * time).unionByName(g.df.where("not active"), allowMissingColumns=True))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid, cell
 from gridloom.operators.sample import trilinear
+from gridloom.operators.stencil import gradient
 from gridloom.operators.tree import _written
 
 P = ("px", "py", "pz")
@@ -265,3 +266,47 @@ def enright(x: Column, y: Column, z: Column) -> list[Column]:
     s = lambda v: F.sin(v * pi)
     t = lambda v: F.sin(v * (2 * pi))
     return [s(x) * s(x) * t(y) * t(z) * 2.0, -s(y) * s(y) * t(x) * t(z), -s(z) * s(z) * t(x) * t(y)]
+
+
+def projected(points: DataFrame, g: Grid) -> DataFrame:
+    """Points (id, px, py, pz) moved to a level set's surface: back along the gradient by the distance there.
+
+    Distance and gradient are trilinear samples; a point where the gradient is 0 stays.
+    """
+    slope = gradient(g).withColumn("active", F.lit(True))
+    asked = points.select("id", *[F.col(p).alias(a) for p, a in zip(P, "xyz")])
+    out = points.join(trilinear(g, asked).select("id", F.col("value").alias("_d")), "id")
+    for c in ("gx", "gy", "gz"):
+        part = Grid(slope.select(*IJK, F.col(c).alias("value"), "active"), 0.0)
+        out = out.join(trilinear(part, asked).select("id", F.col("value").alias(f"_{c}")), "id")
+    steep = F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy") + F.col("_gz") * F.col("_gz")
+    for p, c in zip(P, ("gx", "gy", "gz")):
+        out = out.withColumn(p, F.when(steep > 0, F.col(p) - F.col("_d") * F.col(f"_{c}") / F.sqrt(steep)).otherwise(F.col(p)))
+    return out.drop("_d", "_gx", "_gy", "_gz")
+
+
+def _draw(seed: int, *parts: str) -> Column:
+    """A number from 0 to 1 by a hash of columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def scattered_by_value(g: Grid, density: float, seed: int = 1) -> DataFrame:
+    """Points in active voxels, value times density of them on average: the fraction is a draw by hash."""
+    many = F.floor(F.greatest(F.col("value"), F.lit(0.0)) * density + _draw(seed, *IJK)).cast("int")
+    rows = g.on.select(*IJK, F.explode(F.sequence(F.lit(1), F.when(many > 0, many))).alias("n"))
+    return rows.select(*IJK, "n", *[(F.col(c) + _draw(seed + m, *IJK, "n") - 0.5).alias(p) for m, (c, p) in enumerate(zip(IJK, P), 1)])
+
+
+def in_frustum(points: DataFrame, at: tuple[float, float, float], size: float, taper: float, depth: float, voxels: int) -> DataFrame:
+    """Points in a view along z from a square of ``size`` at a centre, widening by ``taper`` for each unit of depth, with
+    the voxel (fi, fj, fk) of the ``voxels`` a side that the view is cut into."""
+    z = F.col("pz") - at[2]
+    width = (F.lit(1.0) + z * taper) * size
+    u, v = ((F.col(p) - x) / width + 0.5 for p, x in zip(P[:2], at))
+    inside = points.where((z >= 0) & (z < depth)).where((u >= 0) & (u < 1) & (v >= 0) & (v < 1))
+    return inside.select("*", *[F.floor(x * voxels).cast("int").alias(c) for x, c in zip((u, v, z / depth), ("fi", "fj", "fk"))])
+
+
+def clipped_to_frustum(g: Grid, at: tuple[float, float, float], size: float, taper: float, depth: float) -> Grid:
+    """Voxels whose centre a view holds."""
+    return g.with_df(in_frustum(g.df.select("*", *[F.col(c).cast("double").alias(p) for c, p in zip(IJK, P)]), at, size, taper, depth, 1))

@@ -84,3 +84,22 @@ def measure(g: Grid, size: float = 1.0) -> DataFrame:
     length = F.sqrt(grad[0] * grad[0] + grad[1] * grad[1] + grad[2] * grad[2])
     flux = sum((F.col(c) * grad[n] for n, c in enumerate(IJK)), F.lit(0.0))
     return d.agg((F.sum(dirac * length) * size**2).alias("area"), (F.sum(dirac * flux) * (size**3 / 3)).alias("volume"))
+
+
+def check_level_set(g: Grid, slack: float = 0.25) -> DataFrame:
+    """One row of counts of what a level set must not have: values that are no number, active ones at or beyond the
+    background, inactive ones off it, and slopes off 1 by more than ``slack`` where all face neighbours are active."""
+    v = F.col("value")
+    bad = F.isnan(v) | (F.abs(v) == float("inf"))
+    flat = g.df.agg(F.count_if(bad).alias("n_not_finite"), F.count_if(F.col("active") & (F.abs(v) >= g.background)).alias("n_beyond"), F.count_if(~F.col("active") & (F.abs(v) != g.background)).alias("n_off_background"))
+    outside = Grid(g.on, float("nan"))
+    steep = F.sqrt(sum(((F.col(name(axis(n))) - F.col(name(axis(n, -1)))) * (F.col(name(axis(n))) - F.col(name(axis(n, -1)))) for n in range(3)), F.lit(0.0))) / 2
+    slopes = gather(outside, FACES).agg(F.count_if(~F.isnan(steep) & (F.abs(steep - 1.0) > slack)).alias("n_slope"))
+    # One row each.
+    return flat.join(F.broadcast(slopes), F.lit(True))
+
+
+def check_fog(g: Grid) -> DataFrame:
+    """One row of counts: values that are no number, outside 0 to 1, and inactive ones that aren't 0."""
+    v = F.col("value")
+    return g.df.agg(F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_not_finite"), F.count_if((v < 0) | (v > 1)).alias("n_outside"), F.count_if(~F.col("active") & (v != 0)).alias("n_off_background"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, Grid
+from gridloom.operators.stencil import surface_mask
 from gridloom.operators.values import skin
 
 CORNERS = list(product((0, 1), repeat=3))
@@ -148,3 +149,49 @@ def rebuilt(g: Grid, iso: float = 0.0, half: float = 3.0) -> Grid:
     met = near.groupBy(*IJK).agg(F.min(d).alias("d")).where(F.col("d") < half)
     signed = met.join(g.df.select(*IJK, "value"), list(IJK)).select(*IJK, (F.col("d") * F.when(F.col("value") < iso, -1.0).otherwise(1.0)).alias("value"), F.lit(True).alias("active"))
     return Grid(signed, half)
+
+
+def winding(triangles: DataFrame, voxels: DataFrame) -> DataFrame:
+    """(i, j, k, turns): how often a closed mesh of triangles (ax ... cz) that look outwards goes around each voxel.
+
+    A triangle sends its height and side to the lines along k that it crosses, and a running sum from the top of each
+    line counts them; edges and corners belong to one of the triangles that share them. Lines are sorted, not collected.
+    """
+    rows = triangles
+    for c, a in zip("ij", "xy"):
+        low, high = (f(*[F.col(p + a) for p in "aec"]) for f in (F.least, F.greatest))
+        rows = rows.withColumn(c, F.explode(F.sequence(F.floor(low).cast("int"), F.ceil(high).cast("int"))))
+    ends = []
+    for p, q in ("ae", "ec", "ca"):
+        rising = F.col(f"{p}y") <= F.col(f"{q}y")
+        (lx, ly), (hx, hy) = ([F.when(rising, F.col(x + a)).otherwise(F.col(y + a)) for a in "xy"] for x, y in ((p, q), (q, p)))
+        ends.append(F.when((ly <= F.col("j")) & (hy > F.col("j")) & (lx + (F.col("j") - ly) / (hy - ly) * (hx - lx) > F.col("i")), 1).otherwise(0))
+    rows = rows.where((ends[0] + ends[1] + ends[2]) % 2 == 1)
+    (ux, uy, uz), (vx, vy, vz) = ([F.col(p + a) - F.col("a" + a) for a in "xyz"] for p in "ec")
+    area = ux * vy - uy * vx
+    height = F.col("az") - ((uy * vz - uz * vy) * (F.col("i") - F.col("ax")) + (uz * vx - ux * vz) * (F.col("j") - F.col("ay"))) / area
+    met = rows.where(area != 0).select("i", "j", F.lit(None).cast("int").alias("k"), height.alias("z"), F.signum(area).cast("int").alias("turn"))
+    both = met.unionByName(voxels.select(*IJK, F.col("k").cast("double").alias("z"), F.lit(0).alias("turn")))
+    above = Window.partitionBy("i", "j").orderBy(F.desc("z"), F.desc_nulls_last("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("turns", F.sum("turn").over(above)).where("k is not null").select(*IJK, "turns")
+
+
+def mesh_level_set(triangles: DataFrame, half: float = 3.0) -> Grid:
+    """Narrow band of a closed mesh: distances to its triangles, below 0 where it goes around a voxel."""
+    near = mesh_distance(triangles, half)
+    told = near.df.join(winding(triangles, near.df), list(IJK))
+    return near.with_df(told.withColumn("value", F.when(F.col("turns") > 0, -F.col("value")).otherwise(F.col("value"))))
+
+
+def extended(g: Grid, carried: Grid, half: int = 3) -> DataFrame:
+    """(i, j, k, value, away): values of another grid at the surface, carried to the voxels of the band around it.
+
+    A voxel takes that of the nearest voxel whose sign differs from a face neighbour's, the first by place among equals.
+    """
+    edge = surface_mask(g).df.select(*IJK).join(carried.df.select(*IJK, "value"), list(IJK), "left").select(*IJK, F.coalesce("value", F.lit(carried.background)).alias("value"))
+    ball = [o for o in product(range(-half, half + 1), repeat=3) if sum(x * x for x in o) <= half * half]
+    sent = F.inline(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)], F.lit(sum(x * x for x in o)).alias("d")) for o in ball]))
+    rows = edge.select(F.struct(*IJK).alias("at"), *IJK, "value", sent)
+    rows = rows.select(*[(F.col(c) + F.col(f"d{c}")).alias(c) for c in IJK], F.struct("d", "at", "value").alias("best"))
+    near = rows.groupBy(*IJK).agg(F.min("best").alias("best"))
+    return near.join(g.on.select(*IJK), list(IJK)).select(*IJK, "best.value", F.sqrt(F.col("best.d").cast("double")).alias("away"))
