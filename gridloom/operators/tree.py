@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid, node
@@ -78,43 +78,44 @@ def _forget(df: DataFrame) -> None:
 def segments(g: Grid, near: int = 6) -> DataFrame:
     """(i, j, k, si, sj, sk, n): a part is named by its least coordinate; n voxels are connected in it.
 
-    Labels spread from voxel to voxel, and each round also jumps to the label of its label, so the rounds grow with the
-    logarithm of a part's extent. Each round is written to the shared folder.
+    In a round each label points to the least label that its voxels touch, pointers are followed to their ends, and
+    voxels take the label at the end. So at most half of the labels that can merge stay, and the rounds grow with the
+    logarithm of the voxels. Each round is written to the shared folder.
     """
-    ids = g.on.select(*IJK, F.struct(*IJK).alias("label"))
-    state, before = _written(ids), None
+    state = _written(g.on.select(*IJK, F.struct(*IJK).alias("label")))
     most = max(1, state.count() // LARGE_PARTS)
     offsets: list[Offset] = [(0, 0, 0), *NEAR[near]]
     while True:
         sent = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)], F.lit(n == 0).alias("own")) for n, o in enumerate(offsets)]))
         spread = state.select(*IJK, "label", sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], "label", F.col("o.own").alias("own"))
-        least = spread.groupBy(*IJK).agg(F.min("label").alias("label"), F.max("own").alias("own")).where("own").drop("own")
-        large = _large(state, most).join(state.select(F.struct(*IJK).alias("label"), F.col("label").alias("next")), "label").select("label", "next")
-        jump = least.select(F.struct(*IJK).alias("label"), F.col("label").alias("next"))
-        old, state = state, _written(_looked_up(least, large, jump, "next").select(*IJK, F.least("label", F.coalesce("next", "label")).alias("label")))
-        _forget(old)
-        now = state.agg(F.sum(F.xxhash64("label", *IJK).cast("decimal(38,0)"))).first()[0]
-        if now == before:
+        met = spread.groupBy(*IJK).agg(F.min("label").alias("least"), F.max(F.when(F.col("own"), F.col("label"))).alias("label")).where("label is not null")
+        to = _written(met.groupBy("label").agg(F.min("least").alias("next")))
+        if to.where("next < label").isEmpty():
+            _forget(to)
             break
-        before = now
+        while True:
+            further = _written(_looked_up(to, "next", to.select(F.col("label").alias("next"), F.col("next").alias("end")), "end", F.col("label"), most).select("label", F.col("next").alias("before"), F.col("end").alias("next")))
+            _forget(to)
+            to = further.select("label", "next")
+            if further.where("next < before").isEmpty():
+                break
+        old, state = state, _written(_looked_up(state, "label", to, "next", F.struct(*IJK), most).select(*IJK, F.col("next").alias("label")))
+        _forget(old)
+        _forget(to)
     sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return _looked_up(state, sizes.where(F.col("n") > most), sizes, "n").select(*IJK, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
-
-
-def _large(state: DataFrame, most: int) -> DataFrame:
-    """Labels of more than ``most`` voxels; where that is a share of all, they are fewer than one by the share."""
-    return state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("label")
+    return _looked_up(state, "label", sizes, "n", F.struct(*IJK), most).select(*IJK, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
 
 
-def _looked_up(voxels: DataFrame, large: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Voxels with what a table says of their label, large labels from a broadcast table of at most LARGE_PARTS rows.
+def _looked_up(rows: DataFrame, by: str, table: DataFrame, name: str, own: Column, most: int) -> DataFrame:
+    """Rows with what a table (one row for each value of ``by``) says of theirs.
 
-    A voxel of a large label goes to the join by its own place, so that no task gets a whole label; what it finds there
-    gives way to what the broadcast table said.
+    Values of more than ``most`` rows, a share of all and so at most LARGE_PARTS of them, are broadcast. Their rows go to
+    the join by ``own``, so that no task gets all rows of a value; what they find there gives way.
     """
-    told = voxels.join(F.broadcast(large.select("label", F.col(name).alias("of_large"))), "label", "left")
-    keyed = told.withColumn("key", F.when(F.col("of_large").isNull(), F.col("label")).otherwise(F.struct(*IJK)))
-    return keyed.join(table.select(F.col("label").alias("key"), F.col(name).alias("of_key")), "key", "left").select(*IJK, "label", F.coalesce("of_large", "of_key").alias(name))
+    large = rows.groupBy(by).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > most).select(by)
+    told = rows.join(F.broadcast(table.join(F.broadcast(large), by).select(by, F.col(name).alias("of_large"))), by, "left")
+    keyed = told.withColumn("key", F.when(F.col("of_large").isNull(), F.col(by)).otherwise(own))
+    return keyed.join(table.select(F.col(by).alias("key"), F.col(name).alias("of_key")), "key", "left").select(*rows.columns, F.coalesce("of_large", "of_key").alias(name))
 
 
 def flood_signs(g: Grid) -> Grid:
