@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Java regular expression of one word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 500  # rows of an Arrow batch
+#: Names of the folders that :func:`cut` has written in this process; :func:`drop` deletes no other.
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,19 +55,26 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them again: later stages start from files that survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    name = f"cut-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}"
+    _OWN.add(name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables that :func:`cut` has written and that nothing reads any more."""
+    """Delete the files of tables that :func:`cut` has written and that nothing reads any more.
+
+    Files that a table reads from elsewhere, whatever their folder is called, stay.
+    """
     for df in tables:
         spark = df.sparkSession
         for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-            if "/cut-" in path:
+            name = path.rpartition("/")[2]
+            if name in _OWN:
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                _OWN.discard(name)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

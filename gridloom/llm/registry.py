@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import bpe, chat, langid, media, mixing, neardup, pii, quality, rules, warc
+from gridloom.llm import bpe, chat, exact, langid, manifest, media, mixing, neardup, pii, quality, rules, warc, whitening
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_rules": rules.op8_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_merkle": manifest.op12_merkle,
+    "op13_exact": exact.op13_exact,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -23,6 +26,8 @@ SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
     "op8_rules": rules.SQL,
+    "op12_merkle": manifest.SQL,
+    "op13_exact": exact.SQL,
 }
 
 
