@@ -66,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = cut(docs)
-            drop(before)
+            if n:  # the first stage has read the input
+                drop(before)
     return docs
