@@ -54,6 +54,10 @@ def finer(g: Grid) -> Grid:
     return Grid(moved.select(*IJK, (F.col("d") + g.background).alias("value"), "active"), g.background)
 
 
+#: Names of the folders that :func:`_written` has made in this process; :func:`_forget` deletes no other.
+_OWN: set[str] = set()
+
+
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the shared folder."""
     spark = df.sparkSession
@@ -61,7 +65,9 @@ def _written(df: DataFrame) -> DataFrame:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     where = (shared or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-    path = f"{where}/grid-{uuid.uuid4().hex}"
+    name = f"grid-{uuid.uuid4().hex}"
+    path = f"{where}/{name}"
+    _OWN.add(name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,7 +76,7 @@ def _forget(df: DataFrame) -> None:
     """Delete the files of a table that :func:`_written` has made and that nothing reads any more."""
     spark = df.sparkSession
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if "/grid-" in path:
+        if path.rpartition("/")[2] in _OWN:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
