@@ -467,10 +467,10 @@ def curvature_flow(spark, d):
 
 
 def _jacobi(table: str) -> str:
-    return f"(select i, j, k, (({FACES_SUM}) - f) / 6 as value, active, f from {near(table, stencil.FACES)})"
+    return f"(select i, j, k, (({FACES_SUM}) - f) / 6 as value, n.active from {near(table, stencil.FACES)} n join (select i, j, k, value as f from cube) using (i, j, k))"
 
 
-@query("tools_poisson_jacobi", f"{WITH_CUBE}, x0 as (select i, j, k, 0.0::double as value, active, value as f from cube), " + ", ".join(f"x{n} as {_jacobi(f'x{n - 1}')}" for n in range(1, 5)) + f" select i, j, k, {r('value', 3)} as value, active from x4")
+@query("tools_poisson_jacobi", f"{WITH_CUBE}, x0 as (select i, j, k, 0.0::double as value, active from cube), " + ", ".join(f"x{n} as {_jacobi(f'x{n - 1}')}" for n in range(1, 5)) + f" select i, j, k, {r('value', 3)} as value, active from x4")
 def poisson(spark, d):
     return shown(levelset.poisson(tables.cube(spark, d), 4), 3)
 
