@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, drop, ready, table
 
-BASE, DEPTH, BITS = 3, 5, 10
+BASE, DEPTH, BITS = 3, 5, 8
 RUN = BASE**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -54,8 +54,8 @@ def ranked(rows: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("id"), F.lit((1 << 63) - 1).cast("long"))
     rows = rows.withColumn("node", F.shiftright(at, BITS))
     steps = [cut(rows.groupBy("key", "node").agg(F.count(F.lit(1)).alias("many")))]
-    # After 60 bits at most 16 nodes are left for a key, whatever the ids.
-    while len(steps) * BITS < 60 and not steps[-1].groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").isEmpty():
+    # After 56 bits at most 256 nodes are left for a key, whatever the ids.
+    while len(steps) * BITS < 56 and not steps[-1].groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").isEmpty():
         steps.append(cut(steps[-1].groupBy("key", F.shiftright("node", BITS).alias("node")).agg(F.sum("many").alias("many"))))
 
     def before(*by: str) -> Column:
