@@ -130,15 +130,17 @@ def _paths(batches):
             )
 
 
-def paths(of: list[DataFrame], tops: DataFrame) -> DataFrame:
+def paths(of: list[DataFrame], tops: DataFrame | None) -> DataFrame:
     """Items of the lowest tier (key, place, hash, id, given, root, lefts, rights): their siblings up to the root.
 
-    ``tops`` has a row (key, root, lefts, rights) for each key: what follows above its own root.
+    ``tops`` has a row (key, root, lefts, rights) for each key: what follows above its own root. None stands above one tree.
     """
-    ready(tops.sparkSession)
+    ready(of[0].sparkSession)
+    none = F.array().cast("array<string>")
     lower, made = None, []
     for n, tier in reversed(list(enumerate(of))):
-        rows = tier.where(F.col("n") <= RUN).join(tops, "key")
+        rows = tier.where(F.col("n") <= RUN)
+        rows = rows.join(tops, "key") if tops is not None else rows.select("*", F.col("node").alias("root"), none.alias("lefts"), none.alias("rights"))
         if lower is not None:
             rows = rows.unionByName(tier.where(F.col("n") > RUN).join(lower.select("key", F.col("place").alias("run"), "root", "lefts", "rights"), ["key", "run"]))
         lower = rows.select("key", "n", "items", "root", "lefts", "rights").mapInArrow(_paths, PATH)
@@ -179,9 +181,7 @@ def build(rows: DataFrame) -> Manifest:
 def proofs(of: Manifest) -> DataFrame:
     """(key, place, hash, id, given, root, lefts, rights) for each row: ``root`` is its source's, and what stands left and
     right of it on each level leads through that to the root of all."""
-    none = F.array().cast("array<string>")
-    top = of.documents[0].sparkSession.range(1).select(F.lit("").alias("key"), F.lit(of.root).cast("string").alias("root"), none.alias("lefts"), none.alias("rights"))
-    sources = cut(paths(of.sources, top).select(F.col("given").alias("key"), F.col("hash").alias("root"), "lefts", "rights"))
+    sources = cut(paths(of.sources, None).select(F.col("given").alias("key"), F.col("hash").alias("root"), "lefts", "rights"))
     return paths(of.documents, sources)
 
 
