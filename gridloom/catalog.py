@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import bands, further, motion, sweeping, tracking  # noqa: F401  register their queries
+from gridloom.plans import bands, further, meshing, motion, sweeping, tracking  # noqa: F401  register their queries
 from gridloom.plans import queries as plans
 
 

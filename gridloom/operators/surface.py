@@ -142,13 +142,30 @@ def of_mask(g: Grid, half: int = 3) -> Grid:
     return Grid(both.where("value is not null").select(*IJK, "value", F.lit(True).alias("active")), float(half))
 
 
+def rings(g: Grid, iso: float = 0.0) -> DataFrame:
+    """(axis, i, j, k, corner, vi, vj, vk): the four cells of each quad, counter-clockwise as seen from outside."""
+    turn = [(0, 0), (-1, 0), (-1, -1), (0, -1)]
+    sent = []
+    for n in range(3):
+        for m, (a, b) in enumerate(turn):
+            step = {n: 0, (n + 1) % 3: a, (n + 2) % 3: b}
+            sent.append(F.struct(F.lit(n).alias("of"), F.when(F.col("out"), m).otherwise(3 - m).alias("corner"), *[F.lit(step[x]).alias(f"d{c}") for x, c in enumerate(IJK)]))
+    rows = quads(g, iso).select("axis", *IJK, "out", F.inline(F.array(*sent))).where("of = axis")
+    return rows.select("axis", *IJK, "corner", *[(F.col(c) + F.col(f"d{c}")).alias(f"v{c}") for c in IJK])
+
+
+def triangulated(g: Grid, iso: float = 0.0) -> DataFrame:
+    """(ax ... cz): two triangles for each quad, seen counter-clockwise from outside; none where a corner has no vertex."""
+    at = vertices(g, iso).select(*[F.col(c).alias(f"v{c}") for c in IJK], F.struct("x", "y", "z").alias("p"))
+    met = rings(g, iso).join(at, ["vi", "vj", "vk"]).groupBy("axis", *IJK).agg(*[F.max(F.when(F.col("corner") == n, F.col("p"))).alias(f"p{n}") for n in range(4)])
+    whole = met.where(" and ".join(f"p{n} is not null" for n in range(4)))
+    three = [F.struct(*[F.col(f"p{n}")[a].alias(f"{to}{a}") for n, to in zip(of, "aec") for a in "xyz"]) for of in ((0, 1, 2), (0, 2, 3))]
+    return whole.select(F.inline(F.array(*three)))
+
+
 def rebuilt(g: Grid, iso: float = 0.0, half: float = 3.0) -> Grid:
-    """A level set made anew from its surface: distances to the vertices of its mesh, signed as before."""
-    near = _boxed(vertices(g, iso).select(*[F.col(a).alias(f"a{a}") for a in "xyz"]), "a", F.lit(half))
-    d = F.sqrt(reduce(Column.__add__, [(F.col(f"p{a}") - F.col(f"a{a}")) * (F.col(f"p{a}") - F.col(f"a{a}")) for a in "xyz"]))
-    met = near.groupBy(*IJK).agg(F.min(d).alias("d")).where(F.col("d") < half)
-    signed = met.join(g.df.select(*IJK, "value"), list(IJK)).select(*IJK, (F.col("d") * F.when(F.col("value") < iso, -1.0).otherwise(1.0)).alias("value"), F.lit(True).alias("active"))
-    return Grid(signed, half)
+    """A level set made anew from its surface: distances to the faces of its mesh, below 0 where that goes around a voxel."""
+    return mesh_level_set(triangulated(g, iso), half)
 
 
 def winding(triangles: DataFrame, voxels: DataFrame) -> DataFrame:

@@ -154,11 +154,6 @@ def mesh_quads(spark, d):
     return surface.quads(blobs(spark, d))
 
 
-@query("tools_level_set_rebuild", f"{WITH_BLOBS}, {CELLS}, v as (select {', '.join(f'{_vertex(n)} as a{a}' for n, a in enumerate('xyz'))} from cells where {CROSSINGS} > 0), m as (select i, j, k, min(sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay) + (pz - az) * (pz - az))) as dist from {_boxes('v', 'a{}', 'a{}', '2.0')} group by i, j, k) select cast(m.i as int) as i, cast(m.j as int) as j, cast(m.k as int) as k, {r('dist * case when value < 0 then -1.0 else 1.0 end', 5)} as value, true as active from m join blobs using (i, j, k) where dist < 2.0")
-def rebuild(spark, d):
-    return shown(surface.rebuilt(blobs(spark, d), half=2.0), 5)
-
-
 SEGMENTS = "select px as ax, py as ay, pz as az, px + 3 as ex, py - label as ey, pz + 2 as ez, 0.75 + label * 0.125 as r from vectors"
 BAND = "select cast(i as int) as i, cast(j as int) as j, cast(k as int) as k, {0} as value, true as active from m where abs(v) < {1}"
 
