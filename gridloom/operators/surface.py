@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import IJK, Grid
 from gridloom.operators.stencil import surface_mask
+from gridloom.operators.tree import _written
 from gridloom.operators.values import skin
 
 CORNERS = list(product((0, 1), repeat=3))
@@ -63,7 +64,7 @@ def quads(g: Grid, iso: float = 0.0) -> DataFrame:
 def segment_distance(p: str, a: str, b: str) -> str:
     """SQL of a point's distance to a segment; names are prefixes of columns with x, y, z."""
     ab, ap = [f"({b}{c} - {a}{c})" for c in "xyz"], [f"({p}{c} - {a}{c})" for c in "xyz"]
-    t = f"least(greatest(({' + '.join(f'{x} * {y}' for x, y in zip(ab, ap))}) / ({' + '.join(f'{x} * {x}' for x in ab)}), cast(0 as double)), cast(1 as double))"
+    t = f"least(greatest(({' + '.join(f'{x} * {y}' for x, y in zip(ab, ap))}) / greatest({' + '.join(f'{x} * {x}' for x in ab)}, cast(1e-300 as double)), cast(0 as double)), cast(1 as double))"
     return "sqrt(" + " + ".join(f"({x} - {y} * {t}) * ({x} - {y} * {t})" for x, y in zip(ap, ab)) + ")"
 
 
@@ -73,7 +74,7 @@ def triangle_distance(p: str, a: str, b: str, c: str) -> str:
     dot = lambda u, v: "(" + " + ".join(f"{x} * {y}" for x, y in zip(u, v)) + ")"
     bb, bc, cc, pb, pc = dot(ab, ab), dot(ab, ac), dot(ac, ac), dot(ap, ab), dot(ap, ac)
     area = f"({bb} * {cc} - {bc} * {bc})"
-    u, v = f"(({cc} * {pb} - {bc} * {pc}) / {area})", f"(({bb} * {pc} - {bc} * {pb}) / {area})"
+    u, v = f"(({cc} * {pb} - {bc} * {pc}) / greatest({area}, cast(1e-300 as double)))", f"(({bb} * {pc} - {bc} * {pb}) / greatest({area}, cast(1e-300 as double)))"
     plane = "sqrt(" + " + ".join(f"({x} - {u} * {y} - {v} * {z}) * ({x} - {u} * {y} - {v} * {z})" for x, y, z in zip(ap, ab, ac)) + ")"
     edges = ", ".join(segment_distance(p, x, y) for x, y in ((a, b), (b, c), (c, a)))
     return f"case when {area} > 0 and {u} >= 0 and {v} >= 0 and {u} + {v} <= 1 then {plane} else least({edges}) end"
@@ -87,9 +88,44 @@ def _boxed(rows: DataFrame, points: str, reach: Column) -> DataFrame:
     return rows.withColumns({f"p{a}": F.col(c).cast("double") for c, a in zip(IJK, "xyz")})
 
 
+def _descended(triangles: DataFrame, reach: float) -> DataFrame:
+    """Triangles (ax ... cz) with the voxels within ``reach`` of them as px, py, pz, and few others.
+
+    Nodes of 256 voxels a side that a triangle's box meets are opened into nodes of 16 and these into voxels, each where
+    its middle is near the triangle's plane and not far beyond one of its edges. So a triangle gives as many voxels as are
+    near it, however large its box is. Triangles without area have no plane and give the voxels of their box.
+    """
+    rows = triangles
+    for c, a in zip(IJK, "xyz"):
+        low, high = (f(*[F.col(p + a) for p in "aec"]) for f in (F.least, F.greatest))
+        rows = rows.withColumns({f"_l{c}": F.ceil(low - reach).cast("int"), f"_h{c}": F.floor(high + reach).cast("int")})
+    cross = lambda u, v: [u[(n + 1) % 3] * v[(n + 2) % 3] - u[(n + 2) % 3] * v[(n + 1) % 3] for n in range(3)]
+    edge = lambda p, q: [F.col(q + x) - F.col(p + x) for x in "xyz"]
+    rows = rows.withColumns({f"_n{m}": v for m, v in enumerate(cross(edge("a", "e"), edge("a", "c")))})
+    flat = [F.col(f"_n{m}") for m in range(3)]
+    rows = rows.withColumns({f"_o{k}{m}": v for k, (p, q) in enumerate(("ae", "ec", "ca")) for m, v in enumerate(cross(edge(p, q), flat))})
+    length = lambda k: F.greatest(F.sqrt(reduce(Column.__add__, [F.col(f"{k}{m}") * F.col(f"{k}{m}") for m in range(3)])), F.lit(1e-300))
+    rows = rows.withColumns({f"_s{k}": length(k) for k in ("_n", "_o0", "_o1", "_o2")})
+    beyond = lambda k, p: reduce(Column.__add__, [F.col(f"{k}{m}") * (F.col("p" + x) - F.col(p + x)) for m, x in enumerate("xyz")]) / F.col(f"_s{k}")
+    bits, step = 8, 4
+    for c in IJK:
+        rows = rows.withColumn(c, F.explode(F.sequence(F.shiftright(f"_l{c}", bits), F.shiftright(f"_h{c}", bits))))
+    while True:
+        middle = ((1 << bits) - 1) / 2
+        far = reach + middle * 3**0.5
+        rows = rows.withColumns({f"p{x}": (F.shiftleft(c, bits) + middle).cast("double") for c, x in zip(IJK, "xyz")})
+        rows = rows.where((F.abs(beyond("_n", "a")) <= far) & (beyond("_o0", "a") <= far) & (beyond("_o1", "e") <= far) & (beyond("_o2", "c") <= far))
+        if not bits:
+            return rows.drop(*[n for n in rows.columns if n[0] == "_"])
+        bits -= step
+        for c in IJK:
+            first, last = F.greatest(F.shiftleft(c, step), F.shiftright(f"_l{c}", bits)), F.least(F.shiftleft(c, step) + ((1 << step) - 1), F.shiftright(f"_h{c}", bits))
+            rows = rows.where(first <= last).withColumn(c, F.explode(F.sequence(first, last)))
+
+
 def mesh_distance(triangles: DataFrame, half: float = 3.0) -> Grid:
     """Unsigned distances to triangles (ax ... ez, cx, cy, cz) in a band around them."""
-    near = _boxed(triangles, "aec", F.lit(half)).groupBy(*IJK).agg(F.min(F.expr(triangle_distance("p", "a", "e", "c"))).alias("value"))
+    near = _descended(triangles, half).groupBy(*IJK).agg(F.min(F.expr(triangle_distance("p", "a", "e", "c"))).alias("value"))
     return Grid(near.where(F.col("value") < half).withColumn("active", F.lit(True)), half)
 
 
@@ -165,7 +201,7 @@ def triangulated(g: Grid, iso: float = 0.0) -> DataFrame:
 
 def rebuilt(g: Grid, iso: float = 0.0, half: float = 3.0) -> Grid:
     """A level set made anew from its surface: distances to the faces of its mesh, below 0 where that goes around a voxel."""
-    return mesh_level_set(triangulated(g, iso), half)
+    return mesh_level_set(_written(triangulated(g, iso)), half)
 
 
 def winding(triangles: DataFrame, voxels: DataFrame) -> DataFrame:

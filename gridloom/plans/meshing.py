@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF
-from gridloom.operators import meshing, surface
+from gridloom.operators import meshing, soup, surface
+from gridloom.plans import tracking
 from gridloom.plans.bands import _staged
 from gridloom.plans.further import CELLS, CROSSINGS, WITH_BLOBS, _boxes, _vertex, blobs
 from gridloom.plans.queries import query, shown
@@ -84,3 +85,14 @@ def adaptive(spark, d):
     polygons = meshing.adaptive(blobs(spark, d), 0.0, TOLERANCE)[1]
     told = F.transform("corners", lambda c: F.concat_ws(":", c["level"], c["ni"], c["nj"], c["nk"]))
     return polygons.select("axis", *IJK, F.size("corners").cast("long").alias("n"), F.array_join(told, " ").alias("corners"))
+
+
+@query("tools_polygon_soup_to_level_set")
+def polygon_soup(spark, d):
+    """Octahedra around the vectors, every second triangle seen from inside: no SQL for the flood; see tests/test_soup.py."""
+    rows = tracking.triangles(spark, d)
+    swap = (F.floor(F.col("ax") + F.col("cz")) % 2) == 0
+    names = [p + a for p in "aec" for a in "xyz"]
+    other = {"a": "a", "e": "c", "c": "e"}
+    flipped = rows.select(*[F.when(swap, F.col(other[n[0]] + n[1])).otherwise(F.col(n)).alias(n) for n in names])
+    return shown(soup.level_set(flipped, 1.5), 5)

@@ -61,3 +61,14 @@ def test_distances_to_a_triangle(spark):
     for place, want in {(1, 1, 2): 2.0, (-1, 0, 0): 1.0, (-1, -1, 1): 3**0.5, (3, 3, 0): 2**0.5, (2, 2, 0): 0.0, (5, 0, 1): 2**0.5}.items():
         assert abs(got[place] - want) < 1e-9
     assert surface.mesh_distance(t.where(F.lit(False))).df.count() == 0
+
+
+def test_only_written_grids_are_deleted(spark, tmp_path):
+    from gridloom.operators.tree import _forget, _written
+
+    spark.range(3).write.parquet(f"{tmp_path}/grid-1/grid-2")
+    theirs = spark.read.parquet(f"{tmp_path}/grid-1/grid-2")
+    own = _written(spark.range(4))
+    _forget(theirs)
+    _forget(theirs.union(own))
+    assert theirs.count() == 3 and not spark._jvm.java.io.File(own.inputFiles()[0].removeprefix("file:")).exists()
