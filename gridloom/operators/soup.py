@@ -21,31 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid
-from gridloom.operators.band import Stages, staged
+from gridloom.operators.band import staged
 from gridloom.operators.stencil import CUBE
-from gridloom.operators.surface import _descended, triangle_distance
+from gridloom.operators.surface import _descended, foot
 from gridloom.operators.tree import _forget, _written, segments
 
 #: Half the diagonal of a voxel.
 WALL = 3**0.5 / 2
 
 
-def foot() -> Stages:
-    """Columns fx, fy, fz: the point of triangle a, e, c that is nearest to p, and its distance ``d``."""
-    dot = lambda u, v: " + ".join(f"{u}{x} * {v}{x}" for x in "xyz")
-    ways = {f"{n}{x}": f"{b}{x} - {a}{x}" for n, a, b in (("u", "a", "e"), ("v", "a", "c"), ("w", "a", "p"), ("s", "e", "c"), ("r", "e", "p")) for x in "xyz"}
-    sums = {"uu": dot("u", "u"), "uv": dot("u", "v"), "vv": dot("v", "v"), "wu": dot("w", "u"), "wv": dot("w", "v"), "ss": dot("s", "s"), "rs": dot("r", "s")}
-    part = lambda x, y: f"least(greatest({x} / greatest({y}, cast(1e-300 as double)), cast(0 as double)), cast(1 as double))"
-    parts = {"area": "uu * vv - uv * uv", "t0": part("wu", "uu"), "t1": part("wv", "vv"), "t2": part("rs", "ss")}
-    inner = {"g": "case when area > 0 then (vv * wu - uv * wv) / greatest(area, cast(1e-300 as double)) else -1 end", "h": "case when area > 0 then (uu * wv - uv * wu) / greatest(area, cast(1e-300 as double)) else -1 end"}
-    feet = {f"{n}{x}": f"{a}{x} + t{n[1]} * {way}{x}" for n, a, way in (("k0", "a", "u"), ("k1", "a", "v"), ("k2", "e", "s")) for x in "xyz"}
-    feet |= {f"k3{x}": f"a{x} + g * u{x} + h * v{x}" for x in "xyz"}
-    far = {f"d{n}": " + ".join(f"(p{x} - k{n}{x}) * (p{x} - k{n}{x})" for x in "xyz") for n in range(4)}
-    choice = {"pick": "case when g >= 0 and h >= 0 and g + h <= 1 then 3 when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end"}
-    chosen = lambda e: "case pick " + " ".join(f"when {n} then {e.format(n)}" for n in range(4)) + " end"
-    return [ways, sums, parts, inner, feet, far, choice, {"d": f"sqrt({chosen('d{}')})", **{f"f{x}": chosen("k{}" + x) for x in "xyz"}}]
-
-
 def exterior(cells: DataFrame) -> DataFrame:
     """(i, j, k): voxels without a wall that can be reached from outside, among all in the leaves of (i, j, k, wall).
 
@@ -90,11 +74,9 @@ def exterior(cells: DataFrame) -> DataFrame:
 def level_set(triangles: DataFrame, half: float = 3.0) -> Grid:
     """Narrow band of triangles (ax ... ez, cx, cy, cz), negative where the outside doesn't reach."""
     reach = max(half, 3.0)
-    corners = [p + x for p in "aec" for x in "xyz"]
-    away = F.expr(triangle_distance("p", "a", "e", "c"))
-    near = _descended(triangles, reach).groupBy(*IJK).agg(F.min(F.struct(away.alias("away"), *corners)).alias("best"))
-    near = near.select(*IJK, "best.*", *[F.col(c).cast("double").alias(f"p{x}") for c, x in zip(IJK, "xyz")]).where(F.col("away") < reach)
-    band = _written(staged(near, foot()).select(*IJK, "d", "fx", "fy", "fz"))
+    rows = staged(_descended(triangles, reach), foot())
+    near = rows.groupBy(*IJK).agg(F.min(F.struct("d", "fx", "fy", "fz")).alias("best"))
+    band = _written(near.select(*IJK, "best.*").where(F.col("d") < reach))
     outside = _written(exterior(band.select(*IJK, (F.col("d") < WALL).alias("wall"))))
     # Voxels of the wall ask their neighbours.
     wall = band.where(F.col("d") < WALL)

@@ -93,9 +93,10 @@ def _descended(triangles: DataFrame, reach: float) -> DataFrame:
 
     Nodes of 256 voxels a side that a triangle's box meets are opened into nodes of 16 and these into voxels, each where
     its middle is near the triangle's plane and not far beyond one of its edges. So a triangle gives as many voxels as are
-    near it, however large its box is. Triangles without area have no plane and give the voxels of their box.
+    near it, however large its box is. Triangles without area have no plane and give the voxels of their box. Triangles
+    are dealt out first: a small table of them makes many rows.
     """
-    rows = triangles
+    rows = triangles.repartition(int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for c, a in zip(IJK, "xyz"):
         low, high = (f(*[F.col(p + a) for p in "aec"]) for f in (F.least, F.greatest))
         rows = rows.withColumns({f"_l{c}": F.ceil(low - reach).cast("int"), f"_h{c}": F.floor(high + reach).cast("int")})
@@ -123,9 +124,28 @@ def _descended(triangles: DataFrame, reach: float) -> DataFrame:
             rows = rows.where(first <= last).withColumn(c, F.explode(F.sequence(first, last)))
 
 
+def foot() -> list[dict[str, str]]:
+    """Columns fx, fy, fz: the point of triangle a, e, c that is nearest to p, and its distance ``d``."""
+    dot = lambda u, v: " + ".join(f"{u}{x} * {v}{x}" for x in "xyz")
+    ways = {f"{n}{x}": f"{b}{x} - {a}{x}" for n, a, b in (("u", "a", "e"), ("v", "a", "c"), ("w", "a", "p"), ("s", "e", "c"), ("r", "e", "p")) for x in "xyz"}
+    sums = {"uu": dot("u", "u"), "uv": dot("u", "v"), "vv": dot("v", "v"), "wu": dot("w", "u"), "wv": dot("w", "v"), "ss": dot("s", "s"), "rs": dot("r", "s")}
+    part = lambda x, y: f"least(greatest({x} / greatest({y}, cast(1e-300 as double)), cast(0 as double)), cast(1 as double))"
+    parts = {"area": "uu * vv - uv * uv", "t0": part("wu", "uu"), "t1": part("wv", "vv"), "t2": part("rs", "ss")}
+    inner = {"g": "case when area > 0 then (vv * wu - uv * wv) / greatest(area, cast(1e-300 as double)) else -1 end", "h": "case when area > 0 then (uu * wv - uv * wu) / greatest(area, cast(1e-300 as double)) else -1 end"}
+    feet = {f"{n}{x}": f"{a}{x} + t{n[1]} * {way}{x}" for n, a, way in (("k0", "a", "u"), ("k1", "a", "v"), ("k2", "e", "s")) for x in "xyz"}
+    feet |= {f"k3{x}": f"a{x} + g * u{x} + h * v{x}" for x in "xyz"}
+    far = {f"d{n}": " + ".join(f"(p{x} - k{n}{x}) * (p{x} - k{n}{x})" for x in "xyz") for n in range(4)}
+    choice = {"pick": "case when g >= 0 and h >= 0 and g + h <= 1 then 3 when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end"}
+    chosen = lambda e: "case pick " + " ".join(f"when {n} then {e.format(n)}" for n in range(4)) + " end"
+    return [ways, sums, parts, inner, feet, far, choice, {"d": f"sqrt({chosen('d{}')})", **{f"f{x}": chosen("k{}" + x) for x in "xyz"}}]
+
+
 def mesh_distance(triangles: DataFrame, half: float = 3.0) -> Grid:
     """Unsigned distances to triangles (ax ... ez, cx, cy, cz) in a band around them."""
-    near = _descended(triangles, half).groupBy(*IJK).agg(F.min(F.expr(triangle_distance("p", "a", "e", "c"))).alias("value"))
+    rows = _descended(triangles, half)
+    for stage in foot():
+        rows = rows.selectExpr("*", *[f"{e} as {n}" for n, e in stage.items()])
+    near = rows.groupBy(*IJK).agg(F.min("d").alias("value"))
     return Grid(near.where(F.col("value") < half).withColumn("active", F.lit(True)), half)
 
 
