@@ -92,3 +92,12 @@ def test_enclosed_regions(spark):
     assert got == {c for c, v in band.items() if v >= 0 and math.dist(c, (0, 0, 0)) < 8}
     cup = {c: (1.0 if c[2] > 5 else v) for c, v in band.items()}
     assert soup.enclosed_region(frame(cup)).df.count() == 0
+
+
+def test_signs_by_flood(spark):
+    """Inactive voxels in and around a ball, all stored as positive, and one deep inside without a neighbour."""
+    d = {c: math.dist(c, (0, 0, 0)) - 7.0 for c in product(range(-9, 10), repeat=3)}
+    rows = [(*c, float(v) if abs(v) < 2 else 3.0, abs(v) < 2) for c, v in d.items() if abs(v) < 4 or c == (0, 0, 0)]
+    g = grid(spark.createDataFrame(rows, "i int, j int, k int, value double, active boolean"), 3.0)
+    got = {(r.i, r.j, r.k): (r.value, r.active) for r in soup.flooded_signs(g).df.collect()}
+    assert got == {(i, j, k): (v if on else math.copysign(3.0, d[i, j, k]), on) for i, j, k, v, on in rows}
