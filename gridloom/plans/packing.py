@@ -50,7 +50,7 @@ def _greedy(shrunk: str, where: str) -> str:
     return f"left_ as (select 0 as n, i, j, k, r from candidates union all {step}), chosen as (select n, max((r, -i, -j, -k)) as s from left_ group by n)"
 
 
-CHOSEN = "select cast(-s[2] as int) as i, cast(-s[3] as int) as j, cast(-s[4] as int) as k, " + r("s[1]", 5) + " as r from chosen"
+CHOSEN = "select cast(-s[2] as int) as i, cast(-s[3] as int) as j, cast(-s[4] as int) as k, " + r("s[1]") + " as r from chosen"
 
 
 def _recursive(text: str) -> str:
@@ -61,10 +61,10 @@ def _recursive(text: str) -> str:
 def fill_with_spheres(spark, d):
     """All spheres of at least 1.5 voxels that touch each other at most; radii are rounded before they are compared."""
     found = packing.candidates(solids(spark, d)).withColumn("r", F.round("r", 6))
-    return shown(packing.packed(found, min_radius=LEAST), 5)
+    return shown(packing.packed(found, min_radius=LEAST))
 
 
 @query("tools_fill_with_overlapping_spheres", _recursive(f"{WITH_SOLIDS}, {BUCKETED}, {CANDIDATES}, {_greedy('s.r', 'room >= 0')} {CHOSEN}"))
 def fill_with_overlapping_spheres(spark, d):
     found = packing.candidates(solids(spark, d)).withColumn("r", F.round("r", 6))
-    return shown(packing.packed(found, min_radius=LEAST, overlapping=True), 5)
+    return shown(packing.packed(found, min_radius=LEAST, overlapping=True))
