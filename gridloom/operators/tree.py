@@ -81,20 +81,23 @@ def _forget(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def segments(g: Grid, near: int = 6) -> DataFrame:
+def segments(g: Grid, near: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, k, si, sj, sk, n): a part is named by its least coordinate; n voxels are connected in it.
 
+    Columns ``by`` of the grid's rows tell grids apart that lie in one table: only voxels of the same are connected.
+
     In a round each label points to the least label that its voxels touch, pointers are followed to their ends, and
     voxels take the label at the end. So at most half of the labels that can merge stay, and the rounds grow with the
     logarithm of the voxels. Each round is written to the shared folder.
     """
-    state = _written(g.on.select(*IJK, F.struct(*IJK).alias("label")))
+    at = (*by, *IJK)
+    state = _written(g.on.select(*at, F.struct(*at).alias("label")))
     most = max(1, state.count() // LARGE_PARTS)
     offsets: list[Offset] = [(0, 0, 0), *NEAR[near]]
     while True:
         sent = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)], F.lit(n == 0).alias("own")) for n, o in enumerate(offsets)]))
-        spread = state.select(*IJK, "label", sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], "label", F.col("o.own").alias("own"))
-        met = spread.groupBy(*IJK).agg(F.min("label").alias("least"), F.max(F.when(F.col("own"), F.col("label"))).alias("label")).where("label is not null")
+        spread = state.select(*at, "label", sent.alias("o")).select(*by, *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], "label", F.col("o.own").alias("own"))
+        met = spread.groupBy(*at).agg(F.min("label").alias("least"), F.max(F.when(F.col("own"), F.col("label"))).alias("label")).where("label is not null")
         to = _written(met.groupBy("label").agg(F.min("least").alias("next")))
         if to.where("next < label").isEmpty():
             _forget(to)
@@ -105,11 +108,11 @@ def segments(g: Grid, near: int = 6) -> DataFrame:
             to = further.select("label", "next")
             if further.where("next < before").isEmpty():
                 break
-        old, state = state, _written(_looked_up(state, "label", to, "next", F.struct(*IJK), most).select(*IJK, F.col("next").alias("label")))
+        old, state = state, _written(_looked_up(state, "label", to, "next", F.struct(*at), most).select(*at, F.col("next").alias("label")))
         _forget(old)
         _forget(to)
     sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return _looked_up(state, "label", sizes, "n", F.struct(*IJK), most).select(*IJK, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
+    return _looked_up(state, "label", sizes, "n", F.struct(*at), most).select(*at, *[F.col("label")[c].alias(f"s{c}") for c in IJK], "n")
 
 
 def _looked_up(rows: DataFrame, by: str, table: DataFrame, name: str, own: Column, most: int) -> DataFrame:
