@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import bands, constrained, ellipsoids, fracture, further, meshing, motion, packing, poisson, sweeping, tracking  # noqa: F401  register their queries
+from gridloom.plans import bands, constrained, dense, ellipsoids, fracture, further, meshing, motion, packing, poisson, sweeping, tracking  # noqa: F401  register their queries
 from gridloom.plans import queries as plans
 
 
