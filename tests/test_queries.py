@@ -13,7 +13,7 @@ SOME = [
     "points_delete", "points_string_codes", "points_principal_spread", "points_advect_runge_kutta", "points_rasterize_smooth_spheres", "ax_exponents_and_angles", "ax_volume_functions",
     "tools_level_set_track", "tools_level_set_advect", "tools_check_level_set", "tools_sdf_extension", "tools_merge_csg_difference", "tools_mesh_to_level_set", "points_project", "points_scatter_by_value", "points_frustum_raster", "tools_clip_frustum", "ax_matrix4_functions",
     "tools_staggered_sampler", "tools_level_set_curvature_flow", "points_scatter", "tools_fog_to_sdf", "tools_fog_to_extension", "tools_level_set_morphing", "tools_volume_to_mesh_adaptive", "tools_potential_flow_walls", "tools_potential_flow_velocities",
-    "tools_closest_surface_point", "tools_fill_with_spheres", "points_local_axes", "points_rasterize_ellipsoids", "points_advect_constrained", "tools_fracture", "tools_fracture_volumes",
+    "tools_closest_surface_point", "tools_fill_with_spheres", "points_local_axes", "points_rasterize_ellipsoids", "points_advect_constrained", "tools_dense_extract", "tools_dense_composite_over", "tools_fracture", "tools_fracture_volumes",
     "points_offsets", "points_level_set_filter", "points_rasterize_mean", "points_radius_search", "points_closest", "ax_scalar_functions", "ax_matrix_functions", "ax_colour_round_trip", "stream_windowed_voxels",
     "math_ray_voxels", "math_ray_hits", "math_ray_integral", "tools_active_runs", "tools_grid_transform", "tools_level_set_normalise", "tools_level_set_morph", "tools_particles_to_level_set", "math_gradient_forward", "points_nearest", "ax_modulo_functions", "ax_matrix_inverse", "ax_sort_functions", "ax_leaf_offsets",
 ]
