@@ -12,12 +12,17 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.model import IJK, Grid
 from gridloom.operators.surface import vertices
+from gridloom.operators.tiles import TILES, chunked, finite, matrix, tiled
 from gridloom.operators.tree import _forget, _written
+from gridloom.workers import small_batches
 
 XYZ = ("x", "y", "z")
 #: Spheres reach at most two buckets far, as a bucket is as long as the largest radius.
@@ -30,36 +35,70 @@ def _length(parts: list[Column]) -> Column:
     return F.sqrt(reduce(Column.__add__, [p * p for p in parts]))
 
 
+def _nearest(batches):
+    """The closest place to each point of a chunk among those of its tiles that came one after another."""
+    schema, chunk, ids, best = None, None, None, None
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), a) for a in (ids, *map(pa.array, best.T))], names=["id", "distance", *XYZ])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            number = batch.column("chunk")[row].as_py()
+            points, places = matrix(batch, [f"p{a}" for a in XYZ], row), matrix(batch, list(XYZ), row)
+            if number != chunk:
+                if chunk is not None:
+                    yield told()
+                chunk, ids, best = number, batch.column("id")[row].values, np.full((len(points), 4), np.inf)
+            away = np.sqrt(sum((points[:, n, None] - places[None, :, n]) ** 2 for n in range(3)))
+            at = away.argmin(1)  # places of a chunk are sorted, so ties go to the first
+            new = np.column_stack([away[np.arange(len(points)), at], places[at]])
+            equal = new[:, 0] == best[:, 0]
+            nearer = new[:, 0] < best[:, 0]
+            for n in np.flatnonzero(equal):
+                nearer[n] = tuple(new[n]) < tuple(best[n])
+            best[nearer] = new[nearer]
+    if chunk is not None:
+        yield told()
+
+
 def closest_surface(places: DataFrame, points: DataFrame, radius: float = 2.0) -> DataFrame:
     """(id, distance, x, y, z): the closest of ``places`` (x, y, z) to each point (id, px, py, pz), however far; ties by coordinates.
 
-    A round looks into buckets as long as its radius, which doubles for points that have found nothing within it. So a
-    point meets only places up to about four times as far as its closest. Points are dropped if there is no place at all.
+    A round looks into buckets four times as long as its radius, which doubles for points that have found nothing within a
+    bucket's length. Chunks of points and places meet as matrices, so what is shuffled and written grows with points and
+    places, not with their pairs. Places and points with a null or non-finite coordinate count as none; points are dropped if
+    there is no place at all.
     """
-    places = _written(places.select(*[F.col(a).cast("double").alias(a) for a in XYZ]))
-    ends = places.select(*XYZ).unionByName(points.select(*[F.col(f"p{a}").cast("double").alias(a) for a in XYZ])).agg(*[(F.max(a) - F.min(a)).alias(a) for a in XYZ]).first()
+    spark = points.sparkSession
+    asked = [f"p{a}" for a in XYZ]
+    places = places.select(*[F.col(a).cast("double").alias(a) for a in XYZ])
+    places = _written(places.where(finite(list(XYZ))))
+    waiting = points.select("id", *[F.col(p).cast("double").alias(p) for p in asked])
+    waiting = _written(waiting.where(finite(asked)))
+    ends = places.unionByName(waiting.select(*[F.col(p).alias(a) for p, a in zip(asked, XYZ)])).agg(*[(F.max(a) - F.min(a)).alias(a) for a in XYZ]).first()
     reach = sum((e or 0.0) ** 2 for e in ends) ** 0.5
-    waiting, parts = points.select("id", *[f"p{a}" for a in XYZ]), []
+    side, parts = radius * 4, []
+    lists = StructType([StructField("id", ArrayType(waiting.schema["id"].dataType)), *[StructField(c, ArrayType(DoubleType())) for c in ("distance", *XYZ)]])
     if places.isEmpty():
         reach, waiting = 0.0, waiting.limit(0)
     while True:
-        bucket = lambda c: F.floor(F.col(c) / radius)  # noqa: E731, B023
-        right = places.select(*XYZ, *[bucket(a).alias(f"b{a}") for a in XYZ])
-        left = waiting.select("*", *[bucket(f"p{a}").alias(f"b{a}") for a in XYZ])
-        for a in XYZ:
-            left = left.withColumn(f"b{a}", F.explode(F.array(*[F.col(f"b{a}") + d for d in (-1, 0, 1)])))
-        away = _length([F.col(f"p{a}") - F.col(a) for a in XYZ])
-        met = left.join(right, [f"b{a}" for a in XYZ]).withColumn("distance", away).where(F.col("distance") <= radius)
-        found = _written(met.groupBy("id").agg(F.min(F.struct("distance", *XYZ)).alias("best")).select("id", "best.*"))
+        left = chunked(waiting, asked, side, [F.xxhash64("id")])
+        right = chunked(places, list(XYZ), side, [F.col(a) for a in XYZ])
+        with small_batches(spark, TILES):
+            met = _written(tiled(left, right).mapInArrow(_nearest, lists))
+        each = met.select(F.inline(F.arrays_zip("id", "distance", *XYZ))).where(F.col("distance") <= side)
+        found = _written(each.groupBy("id").agg(F.min(F.struct("distance", *XYZ)).alias("best")).select("id", "best.*"))
+        for table in (left, right, met):
+            _forget(table)
         parts.append(found)
-        if radius > reach:
+        if side > reach:
             break
         before, waiting = waiting, _written(waiting.join(found, "id", "left_anti"))
-        if len(parts) > 1:
-            _forget(before)
+        _forget(before)
         if waiting.isEmpty():
             break
-        radius *= 2
+        side *= 2
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,5 +1,8 @@
 """Spheres in solids next to a choice one by one, and closest places next to a plain search."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -71,3 +74,18 @@ def test_closest_places(spark):
         assert np.allclose([found[n][a] for a in "xyz"], places[away.argmin()])
     assert packing.closest_surface(s.limit(0), p).count() == 0
     assert packing.closest_surface(s, p.limit(0)).count() == 0
+
+
+def test_closest_surface_in_tiles(spark):
+    """More points and places in one bucket than a chunk holds, places far away, ties, and coordinates that are none."""
+    random.seed(5)
+    at = [(random.random() * 6, random.random() * 6, random.random() * 6) for _ in range(1500)] + [(90.0, 1.0, 1.0), (3.0, 3.0, 3.0)]
+    places = [(round(random.random() * 40, 1), 30.0, round(random.random() * 7, 1)) for _ in range(1300)] + [(4.0, 3.0, 3.0), (2.0, 3.0, 3.0)]
+    points = spark.createDataFrame([(n, *p) for n, p in enumerate(at)] + [(-1, float("nan"), 0.0, 0.0), (-2, None, 0.0, 0.0), (-3, float("inf"), 0.0, 0.0)], "id long, px double, py double, pz double")
+    surface = spark.createDataFrame([*places, (float("nan"), 0.0, 0.0)], "x double, y double, z double")
+    found = {x["id"]: tuple(x)[1:] for x in packing.closest_surface(surface, points).collect()}
+    assert set(found) == set(range(len(at)))
+    for n, p in enumerate(at):
+        distance, place = min((math.dist(p, q), q) for q in places)
+        assert math.isclose(found[n][0], distance) and math.isclose(math.dist(p, found[n][1:]), distance)
+    assert found[len(at) - 1] == (1.0, 2.0, 3.0, 3.0)
