@@ -1,22 +1,29 @@
 """Principal axes of each point's neighbourhood, and level sets of the ellipsoids that they make of points.
 
 A neighbour at a distance d within the radius R weighs 1 - (d / R)^3, the point itself 1. Its neighbourhood's weighted
-mean and covariance are sums over pairs of near places, so repeated points count once as a place with their number; sums
-are made before the shuffle, too. Axes are the eigenvectors of the covariance by Jacobi's rotations, all in columns.
+mean and covariance are sums over pairs of near places, so repeated points count once as a place with their number. Pairs
+are the matrices of chunks that meet in a task, which sends sums only; their number grows with the square of a
+neighbourhood's places, what is shuffled and held with the places. Axes are the eigenvectors of the covariance by Jacobi's rotations, all in columns.
 Stretches are its eigenvalues, none below the largest times ``ratio``, scaled to a product of 1: an ellipsoid has the
 volume of the point's sphere.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.model import IJK, Grid
 from gridloom.operators.band import Stages, staged
 from gridloom.operators.points import P
+from gridloom.operators.tiles import KEY, TILES, chunked, finite, matrix, tiled, values
+from gridloom.operators.tree import _written
+from gridloom.workers import small_batches
 
 PAIRS = [(p, q) for p in range(3) for q in range(p, 3)]
 #: Each sweep squares the share of the matrix off its diagonal; after five it is below the rounding.
@@ -65,27 +72,56 @@ def shaped(ratio: float, stretch: float, threshold: int) -> Stages:
     return [mean, spread, *eigen(), {**least, **flat}, size, {**lengths, **axes}]
 
 
+#: Sums over a point's neighbours: their number, weights, and weighted first and second moments about the point.
+SUMS = ["n", "w", *[f"w{p}" for p in range(3)], *[f"w{p}{q}" for p, q in PAIRS]]
+
+
+def _summed(batches, radius: float):
+    """Sums of each place of a chunk over the places of its tiles that came one after another."""
+    chunk, at, sums = None, None, None
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(x)) for x in (*at.T, *sums)], names=[*P, *SUMS])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            number = batch.column("chunk")[row].as_py()
+            if number != chunk:
+                if chunk is not None:
+                    yield told()
+                chunk, at = number, matrix(batch, list(P), row)
+                sums = np.zeros((len(SUMS), len(at)))
+            others, many = matrix(batch, [f"o{p}" for p in P], row), values(batch, "omany", row).astype(float)
+            d = [others[None, :, p] - at[:, p, None] for p in range(3)]
+            away = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+            near = away <= radius
+            if not near.any():
+                continue
+            share = away / radius
+            weight = np.where(near, (1.0 - share * share * share) * many, 0.0)
+            firsts = [weight * x for x in d]
+            parts = [near @ many, weight.sum(1), *[x.sum(1) for x in firsts], *[np.einsum("ij,ij->i", firsts[p], d[q]) for p, q in PAIRS]]
+            sums += np.stack(parts)
+    if chunk is not None:
+        yield told()
+
+
 def local_axes(points: DataFrame, radius: float, ratio: float = 0.25, stretch: float = 1.0, threshold: int = 20, average: float = 1.0) -> DataFrame:
     """Points with their neighbourhood's size n (they count, too), qx, qy, qz, s0 ... s2 and u00 ... u22.
 
     q is the point moved by the share ``average`` towards the weighted mean. The columns of u are the axes of the stretches, the
     longest first. Points with a null or non-finite coordinate have no neighbourhood: n is 0, q and the axes are null.
     """
-    clean = reduce(Column.__and__, [F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf")) for p in P])
-    places = points.where(clean).groupBy(*[(F.col(p) + 0.0).alias(p) for p in P]).agg(F.count(F.lit(1)).alias("many"))
-    bucket = lambda p: F.floor(F.col(p) / radius)
-    right = places.select(*[F.col(p).alias(f"o{p}") for p in P], "many", *[bucket(p).alias(f"b{p}") for p in P])
-    left = places.select(*P, *[bucket(p).alias(f"b{p}") for p in P])
-    for p in P:
-        left = left.withColumn(f"b{p}", F.explode(F.array(*[F.col(f"b{p}") + d for d in (-1, 0, 1)])))
-    met = left.join(right, [f"b{p}" for p in P]).withColumns({f"d{n}": F.col(f"o{p}") - F.col(p) for n, p in enumerate(P)})
-    met = met.withColumn("away", F.sqrt(reduce(Column.__add__, [F.col(f"d{n}") * F.col(f"d{n}") for n in range(3)]))).where(F.col("away") <= radius)
-    share = F.col("away") / radius
-    met = met.withColumn("weight", (F.lit(1.0) - share * share * share) * F.col("many"))
-    d = [F.col(f"d{n}") for n in range(3)]
-    firsts = [F.sum(F.col("weight") * d[p]).alias(f"w{p}") for p in range(3)]
-    seconds = [F.sum(F.col("weight") * d[p] * d[q]).alias(f"w{p}{q}") for p, q in PAIRS]
-    sums = met.groupBy(*P).agg(F.sum("many").alias("n"), F.sum("weight").alias("w"), *firsts, *seconds)
+    clean = points.where(finite(list(P)))
+    places = _written(clean.groupBy(*[(F.col(p).cast("double") + 0.0).alias(p) for p in P]).agg(F.count(F.lit(1)).alias("many")))
+    chunks = chunked(places, list(P), radius, [F.xxhash64(*P)])
+    others = chunks.select(*KEY, *[F.col(p).alias(f"o{p}") for p in P], F.col("many").alias("omany"))
+    numbers = ArrayType(DoubleType())
+    lists = StructType([StructField(c, numbers) for c in (*P, *SUMS)])
+    with small_batches(points.sparkSession, TILES):
+        met = _written(tiled(chunks.drop("many"), others).mapInArrow(partial(_summed, radius=radius), lists))
+    each = met.select(F.inline(F.arrays_zip(*P, *SUMS)))
+    sums = each.groupBy(*P).agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in SUMS[1:]])
     shapes = staged(sums, shaped(ratio, stretch, threshold))
     axes = [F.col(f"x{r}{n}").alias(f"u{r}{n}") for r in range(3) for n in range(3)]
     moved = [(F.col(p) + F.col(f"m{n}") * average).alias(f"q{p[1]}") for n, p in enumerate(P)]
