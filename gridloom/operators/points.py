@@ -290,10 +290,21 @@ def _draw(seed: int, *parts: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
+#: Points of a voxel that one row makes.
+RUN = 1024
+
+
 def scattered_by_value(g: Grid, density: float, seed: int = 1) -> DataFrame:
-    """Points in active voxels, value times density of them on average: the fraction is a draw by hash."""
+    """Points in active voxels, value times density of them on average: the fraction is a draw by hash.
+
+    A voxel's numbers are dealt out in runs of ``RUN``, so its points are made in many tasks, however many they are.
+    """
     many = F.floor(F.greatest(F.col("value"), F.lit(0.0)) * density + _draw(seed, *IJK)).cast("int")
-    rows = g.on.select(*IJK, F.explode(F.sequence(F.lit(1), F.when(many > 0, many))).alias("n"))
+    runs = g.on.select(*IJK, many.alias("many")).where("many > 0")
+    runs = runs.select(*IJK, "many", F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / RUN).cast("int"))).alias("run"))
+    parts = runs.sparkSession.sparkContext.defaultParallelism * 4  # a fixed number isn't coalesced
+    runs = runs.repartition(parts, *IJK, "run").withColumn("first", F.col("run") * RUN + 1)
+    rows = runs.select(*IJK, F.explode(F.sequence(F.col("first"), F.least("many", F.col("first") + (RUN - 1)))).alias("n"))
     return rows.select(*IJK, "n", *[(F.col(c) + _draw(seed + m, *IJK, "n") - 0.5).alias(p) for m, (c, p) in enumerate(zip(IJK, P), 1)])
 
 

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import ellipsoids, tiles
+from gridloom.model import Grid
+from gridloom.operators import ellipsoids, points, tiles
 
 
 def test_sums_over_several_chunks_of_a_bucket(spark):
@@ -19,3 +20,10 @@ def test_sums_over_several_chunks_of_a_bucket(spark):
         weight = np.where(away <= 2.0, 1 - (away / 2.0) ** 3, 0.0)
         assert x["n"] == (away <= 2.0).sum()
         assert np.allclose(tuple(x)[2:], weight @ at / weight.sum())
+
+
+def test_points_of_one_voxel_are_made_in_many_tasks(spark):
+    g = Grid(spark.createDataFrame([(1, 2, 3, 20000.0, True), (1, 2, 4, 0.0, True), (1, 2, 5, 9.0, False)], "i int, j int, k int, value double, active boolean"))
+    rows = points.scattered_by_value(g, 1.0).withColumn("task", F.spark_partition_id())
+    found = rows.agg(F.count("*"), F.countDistinct("k", "n"), F.min("n"), F.max("n"), F.countDistinct("task")).first()
+    assert found[:4] == (20000, 20000, 1, 20000) and found[4] > 4
