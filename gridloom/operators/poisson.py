@@ -129,19 +129,19 @@ def _depth(rows: DataFrame) -> int:
     return depth
 
 
-def solved(rows: DataFrame, terms: Terms | None = None, tolerance: float = 1e-6, rounds: int = 200) -> Solution:
+def solved(rows: DataFrame, terms: Terms | None = None, tolerance: float = 1e-6, rounds: int = 200, largest: float = float("inf")) -> Solution:
     """laplacian = value on a domain of rows (i, j, k, value, others), with terms for neighbours that the domain lacks.
 
     The stencil has the six faces (samples staggered). Without terms the solution is 0 beyond the domain. A part of the
     domain without any value beyond it has a solution up to a constant if its right side sums to 0, else none: rounds
-    then end at ``rounds``. Ends when the residual's length is ``tolerance`` of the right side's; the rounds hardly grow
-    with the domain. A round writes two tables to the shared folder; the driver sees three sums.
+    then end at ``rounds``. Ends when the residual's length is ``tolerance`` of the right side's and at most ``largest``, which
+    bounds every equation's error whatever the size of the values; the rounds hardly grow with the domain. A round writes two tables to the shared folder; the driver sees three sums.
     """
     state = _written(system(rows, terms or dirichlet()).select(*IJK, *MATRIX, F.lit(0.0).alias("x"), F.col("b").alias("r"), F.lit(0.0).alias("p")))
     length = F.sum(F.col("r") * F.col("r"))
     start = left = state.agg(length).first()[0] or 0.0
     depth, done, rho, table = _depth(state) if start else 0, 0, None, state
-    while left > tolerance**2 * start and done < rounds:
+    while left > min(tolerance**2 * start, largest**2) and done < rounds:
         answered = _written(_cycle(state, depth))
         _forget(table)
         now = answered.agg(F.sum(F.col("r") * F.col("z"))).first()[0]

@@ -40,7 +40,7 @@ def poisson_boundary(spark, d):
         return (-value, F.lit(-1.0)) if o[2] == 0 else (-slope, F.lit(0.0))
 
     rows = tables.cube(spark, d).on.withColumn("value", F.col("value") / 10000)
-    found = poisson.applied(rows, terms, poisson.solved(rows, terms, 1e-5).grid)
+    found = poisson.applied(rows, terms, poisson.solved(rows, terms, 1e-5, largest=0.02).grid)
     return shown(found.select("i", "j", "k", "right", (F.abs(F.col("left") - F.col("right")) < 0.05).alias("met")), 3)
 
 

@@ -126,3 +126,10 @@ def test_walls_that_move_and_nothing_that_moves(spark):
     still = {(r.i, r.j, r.k): r.vy for r in poisson.wall_velocities(g, domain, (0.0, 1.0, 0.0)).collect()}
     assert got and all(abs(r.vy - still[r.i, r.j, r.k] * (3 if r.i < 6 else 1)) < 1e-9 for r in got)
     assert poisson.potential(Grid(domain.df), poisson.wall_velocities(g, domain, (0.0, 0.0, 0.0))).rounds == 0
+
+
+def test_large_values_meet_an_error_of_fixed_size(spark):
+    rows = spark.range(12**3).selectExpr("cast(id % 12 as int) as i", "cast(floor(id / 12) % 12 as int) as j", "cast(floor(id / 144) as int) as k", "cast(1e6 * ((id * 7919) % 101) as double) as value")
+    x = poisson.solved(rows, poisson.dirichlet(), 1e-5, largest=0.02).grid
+    worst = poisson.applied(rows, poisson.dirichlet(), x).selectExpr("max(abs(left - right))").first()[0]
+    assert worst < 0.05
