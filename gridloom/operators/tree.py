@@ -119,12 +119,13 @@ def _looked_up(rows: DataFrame, by: str, table: DataFrame, name: str, own: Colum
     """Rows with what a table (one row for each value of ``by``) says of theirs.
 
     Values of more than ``most`` rows, a share of all and so at most LARGE_PARTS of them, are broadcast. Their rows go to
-    the join by ``own``, so that no task gets all rows of a value; what they find there gives way.
+    the join by ``own``, so that no task gets all rows of a value; what they find there gives way. The table itself is
+    shuffled, however small its files are, so the driver sees no more than the large values.
     """
     large = rows.groupBy(by).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > most).select(by)
     told = rows.join(F.broadcast(table.join(F.broadcast(large), by).select(by, F.col(name).alias("of_large"))), by, "left")
     keyed = told.withColumn("key", F.when(F.col("of_large").isNull(), F.col(by)).otherwise(own))
-    return keyed.join(table.select(F.col(by).alias("key"), F.col(name).alias("of_key")), "key", "left").select(*rows.columns, F.coalesce("of_large", "of_key").alias(name))
+    return keyed.join(table.select(F.col(by).alias("key"), F.col(name).alias("of_key")).hint("merge"), "key", "left").select(*rows.columns, F.coalesce("of_large", "of_key").alias(name))
 
 
 def flood_signs(g: Grid) -> Grid:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import Grid
 from gridloom.operators import ellipsoids, points, tiles
+from gridloom.operators.tree import _looked_up
 
 
 def test_sums_over_several_chunks_of_a_bucket(spark):
@@ -27,3 +28,13 @@ def test_points_of_one_voxel_are_made_in_many_tasks(spark):
     rows = points.scattered_by_value(g, 1.0).withColumn("task", F.spark_partition_id())
     found = rows.agg(F.count("*"), F.countDistinct("k", "n"), F.min("n"), F.max("n"), F.countDistinct("task")).first()
     assert found[:4] == (20000, 20000, 1, 20000) and found[4] > 4
+
+
+def test_labels_are_shuffled_to_their_rows(spark):
+    """Only the few large values' rows are broadcast, not a whole table whose files are small."""
+    rows = spark.range(200).selectExpr("cast(id as int) as at", "cast(id % 40 as int) as label")
+    table = spark.range(40).selectExpr("cast(id as int) as label", "cast(id * 2 as int) as next")
+    found = _looked_up(rows, "label", table, "next", F.col("at"), 1000)
+    joined = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in line for line in joined)
+    assert {tuple(x) for x in found.collect()} == {(n, n % 40, n % 40 * 2) for n in range(200)}
