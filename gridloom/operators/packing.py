@@ -29,6 +29,8 @@ XYZ = ("x", "y", "z")
 AROUND = list(product(range(-2, 3), repeat=3))
 #: Radii below this are none.
 LEAST = 1e-6
+#: Voxels of a bucket that one task has; larger buckets are shared out.
+SHARE = 1 << 16
 
 
 def _length(parts: list[Column]) -> Column:
@@ -94,7 +96,7 @@ def closest_surface(places: DataFrame, points: DataFrame, radius: float = 2.0) -
         parts.append(found)
         if side > reach:
             break
-        before, waiting = waiting, _written(waiting.join(found, "id", "left_anti"))
+        before, waiting = waiting, _written(waiting.join(found.hint("merge"), "id", "left_anti"))
         _forget(before)
         if waiting.isEmpty():
             break
@@ -137,7 +139,10 @@ def packed(spheres: DataFrame, least: int = 0, most: int | None = None, min_radi
 
 
 def _round(state: DataFrame, side: float, floor: float, overlapping: bool) -> tuple[DataFrame, DataFrame]:
-    """Candidates after a round and the spheres that it chooses; ``side`` is at least the largest radius."""
+    """Candidates after a round and the spheres that it chooses; ``side`` is at least the largest radius.
+
+    Tables of buckets are shuffled, however small their files are, so the driver sees no rows.
+    """
     keys = [f"b{c}" for c in IJK]
     bucketed = state.withColumns({f"b{c}": F.floor(F.col(c) / side) for c in IJK})
     best = _written(bucketed.groupBy(*keys).agg(F.max(F.struct("r", *[(-F.col(c)).alias(c) for c in IJK])).alias("best")))
@@ -150,8 +155,8 @@ def _round(state: DataFrame, side: float, floor: float, overlapping: bool) -> tu
         gaps.append(F.greatest(low - at, at - (low + side), F.lit(0.0)))
     grasp = F.col("other.r") + (F.lit(0.0) if overlapping else F.col("best.r"))
     # The margin keeps roundings of bucket edges on the safe side: a candidate that waits in vain is chosen a round later.
-    held = told.join(best, keys).where((F.col("other") > F.col("best")) & (_length(gaps) <= grasp + 1e-6)).select(*keys).distinct()
-    free = best.join(held, keys, "left_anti")
+    held = told.join(best.hint("merge"), keys).where((F.col("other") > F.col("best")) & (_length(gaps) <= grasp + 1e-6)).select(*keys).distinct()
+    free = best.join(held.hint("merge"), keys, "left_anti")
     picked = _written(free.select(*[(-F.col(f"best.{c}")).alias(c) for c in IJK], F.col("best.r").alias("r")))
     _forget(best)
     # Spheres that don't hold each other's centres: a bucket hears of a bounded number of them.
@@ -159,7 +164,10 @@ def _round(state: DataFrame, side: float, floor: float, overlapping: bool) -> tu
     heard = picked.select(*[F.floor(F.col(c) / side).alias(f"n{c}") for c in IJK], F.struct(*IJK, "r").alias("sphere"), every)
     heard = heard.groupBy(*[(F.col(f"n{c}") + F.col(f"d{c}")).alias(f"b{c}") for c in IJK]).agg(F.collect_list("sphere").alias("near"))
     away = lambda s: _length([(F.col(c) - s[c]).cast("double") for c in IJK]) - s["r"]
-    left = bucketed.join(heard, keys, "left").withColumn("room", F.coalesce(F.array_min(F.transform("near", away)), F.lit(float("inf"))))
+    shares = max(1, int(side) ** 3 // SHARE)
+    heard = heard.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    shared = bucketed.withColumn("share", F.pmod(F.hash(*IJK), F.lit(shares)))
+    left = shared.join(heard.hint("merge"), [*keys, "share"], "left").withColumn("room", F.coalesce(F.array_min(F.transform("near", away)), F.lit(float("inf"))))
     kept = left.where("room >= 0") if overlapping else left.withColumn("r", F.least("r", "room"))
     after = _written(kept.where(F.col("r") >= floor).select(*IJK, "r"))
     _forget(state)

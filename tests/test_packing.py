@@ -89,3 +89,18 @@ def test_closest_surface_in_tiles(spark):
         distance, place = min((math.dist(p, q), q) for q in places)
         assert math.isclose(found[n][0], distance) and math.isclose(math.dist(p, found[n][1:]), distance)
     assert found[len(at) - 1] == (1.0, 2.0, 3.0, 3.0)
+
+
+def test_tables_of_a_round_are_shuffled(spark, cloud, monkeypatch):
+    """No plan sends a table to all tasks by way of the driver, and a large bucket is shared out."""
+    plans, written = [], packing._written
+    monkeypatch.setattr(packing, "_written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    rows = [*cloud[::12], (3, 2, 1, 70.0), (90, 2, 1, 40.0)]
+    df = spark.createDataFrame(rows, "i int, j int, k int, r double")
+    for overlapping in (False, True):
+        ours = [tuple(x) for x in packing.packed(df, overlapping=overlapping).collect()]
+        assert sorted(ours) == sorted(one_by_one(rows, overlapping=overlapping))
+    points = df.selectExpr("struct(i, j, k) as id", "cast(i as double) as px", "cast(j as double) as py", "cast(k as double) as pz")
+    far = spark.createDataFrame([(0.0, 0.0, 0.0), (900.0, 0.0, 0.0)], "x double, y double, z double")
+    assert packing.closest_surface(far, points).count() == len(rows)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
