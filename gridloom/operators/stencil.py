@@ -20,6 +20,8 @@ FACES: list[Offset] = [o for o in product((-1, 0, 1), repeat=3) if sum(map(abs,
 EDGES: list[Offset] = [o for o in product((-1, 0, 1), repeat=3) if 0 < sum(map(abs, o)) <= 2]
 CUBE: list[Offset] = [o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 NEAR = {6: FACES, 18: EDGES, 26: CUBE}
+#: Messages between voxels that a task sends or brings together.
+SENT = 1 << 20
 
 
 def name(o: Offset) -> str:
@@ -155,32 +157,67 @@ def masked(g: Grid, changed: Grid, mask: Grid, low: float = 0.0, high: float = 1
     return g.with_df(met.withColumn("value", F.col("value") + (F.coalesce("new", "value") - F.col("value")) * t))
 
 
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows by voxel over a fixed number of tasks, which Spark doesn't merge; an aggregation by voxel needs no other shuffle."""
+    return rows.repartition(tasks, *IJK)
+
+
+def tasks_for(df: DataFrame, messages: int) -> int:
+    """Tasks among which so many messages are dealt out."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-messages // SENT))
+
+
+def _tasks(g: Grid, near: int, dilations: int, erosions: int = 0) -> int:
+    """Tasks for as many messages as the widest of the steps can send: rows grow by their neighbours, within their box."""
+    ends = g.df.agg(F.count(F.lit(1)), *[f(c) for c in IJK for f in (F.min, F.max)]).first()
+    if not ends[0]:
+        return tasks_for(g.df, 0)
+    grown = dilations if erosions else dilations - 1
+    box = 1
+    for low, high in zip(ends[1::2], ends[2::2]):
+        box *= high - low + 1 + 2 * grown
+    rows = ends[0] * min((near + 1) ** grown, (2 * grown + 1) ** 3)
+    return tasks_for(g.df, min(rows, box) * (near + 2))
+
+
 def dilate(g: Grid, near: int = 6, steps: int = 1) -> Grid:
     """Neighbours of active voxels become active; their values stay, or are the background."""
+    tasks = _tasks(g, near, steps)
+    return _dilate(g.with_df(dealt(g.df, tasks)), near, steps, tasks)
+
+
+def _dilate(g: Grid, near: int, steps: int, tasks: int) -> Grid:
     for _ in range(steps):
         sent = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)]) for o in [(0, 0, 0), *NEAR[near]]]))
         grown = g.on.select(*IJK, sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], F.lit(None).cast("double").alias("value"), F.lit(True).alias("active"))
-        rows = grown.unionByName(g.df).groupBy(*IJK).agg(F.max("value").alias("value"), F.max("active").alias("active"))
+        rows = dealt(grown.unionByName(g.df), tasks).groupBy(*IJK).agg(F.max("value").alias("value"), F.max("active").alias("active"))
         g = g.with_df(rows.withColumn("value", F.coalesce("value", F.lit(g.background))))
     return g
 
 
 def erode(g: Grid, near: int = 6, steps: int = 1) -> Grid:
     """Active voxels with an inactive neighbour become inactive; values stay."""
+    tasks = _tasks(g, near, 0, steps)
+    return _erode(g.with_df(dealt(g.df, tasks)), near, steps, tasks)
+
+
+def _erode(g: Grid, near: int, steps: int, tasks: int) -> Grid:
     for _ in range(steps):
         sent = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)]) for o in [(0, 0, 0), *NEAR[near]]]))
         told = g.on.select(*IJK, sent.alias("o")).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in IJK], F.lit(None).cast("double").alias("value"), F.lit(None).cast("boolean").alias("active"), F.lit(1).alias("n"))
-        rows = told.unionByName(g.df.withColumn("n", F.lit(0))).groupBy(*IJK).agg(F.max("value").alias("value"), F.max("active").alias("active"), F.sum("n").alias("n"), F.count("value").alias("stored"))
+        rows = dealt(told.unionByName(g.df.withColumn("n", F.lit(0))), tasks).groupBy(*IJK).agg(F.max("value").alias("value"), F.max("active").alias("active"), F.sum("n").alias("n"), F.count("value").alias("stored"))
         g = g.with_df(rows.where("active is not null").withColumn("active", F.col("active") & (F.col("n") == near + 1)))
     return g
 
 
 def opened(g: Grid, near: int = 6, steps: int = 1) -> Grid:
-    return dilate(erode(g, near, steps), near, steps)
+    tasks = _tasks(g, near, steps)
+    return _dilate(_erode(g.with_df(dealt(g.df, tasks)), near, steps, tasks), near, steps, tasks)
 
 
 def closed(g: Grid, near: int = 6, steps: int = 1) -> Grid:
-    return erode(dilate(g, near, steps), near, steps)
+    tasks = _tasks(g, near, steps, steps)
+    return _erode(_dilate(g.with_df(dealt(g.df, tasks)), near, steps, tasks), near, steps, tasks)
 
 
 def surface_mask(g: Grid, iso: float = 0.0) -> Grid:
