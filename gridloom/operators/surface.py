@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, Grid
-from gridloom.operators.stencil import surface_mask
+from gridloom.operators.stencil import FACES, dealt, surface_mask, tasks_for
 from gridloom.operators.tree import _written
 from gridloom.operators.values import skin
 
@@ -191,10 +191,13 @@ def of_mask(g: Grid, half: int = 3) -> Grid:
     """
     ball = [o for o in product(range(-half, half + 1), repeat=3) if sum(x * x for x in o) <= half * half]
     sent = F.inline(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)], F.lit(float(sum(x * x for x in o)) ** 0.5).alias("d")) for o in ball]))
-    rows = skin(g).select(*IJK, "inner", sent).select(*[(F.col(c) + F.col(f"d{c}")).alias(c) for c in IJK], "inner", "d")
-    near = rows.groupBy(*IJK).agg(F.min(F.when(F.col("inner"), F.col("d"))).alias("to_in"), F.min(F.when(~F.col("inner"), F.col("d"))).alias("to_out"))
-    own = g.on.select(*IJK, F.lit(True).alias("own"))
-    both = near.join(own, list(IJK), "left").withColumn("value", F.when(F.col("own"), F.lit(0.5) - F.col("to_out")).otherwise(F.col("to_in") - 0.5))
+    on = g.on.select(*IJK)
+    tasks = tasks_for(on, on.count() * (len(FACES) + 1) * len(ball))
+    rows = skin(g, tasks).select(*IJK, "inner", sent).select(*[(F.col(c) + F.col(f"d{c}")).alias(c) for c in IJK], "inner", "d")
+    own = on.select(*IJK, F.lit(None).cast("boolean").alias("inner"), F.lit(None).cast("double").alias("d"), F.lit(True).alias("own"))
+    rows = dealt(rows.withColumn("own", F.lit(None).cast("boolean")).unionByName(own), tasks)
+    both = rows.groupBy(*IJK).agg(F.min(F.when(F.col("inner"), F.col("d"))).alias("to_in"), F.min(F.when(~F.col("inner"), F.col("d"))).alias("to_out"), F.max("own").alias("own"))
+    both = both.withColumn("value", F.when(F.col("own"), F.lit(0.5) - F.col("to_out")).otherwise(F.col("to_in") - 0.5))
     return Grid(both.where("value is not null").select(*IJK, "value", F.lit(True).alias("active")), float(half))
 
 

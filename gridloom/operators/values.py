@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid, node
-from gridloom.operators.stencil import FACES
+from gridloom.operators.stencil import FACES, dealt, tasks_for
 
 
 def change_background(g: Grid, background: float) -> Grid:
@@ -107,10 +107,13 @@ def enclosed(g: Grid, reached: DataFrame) -> Grid:
     return Grid(g.df.join(reached.select(*IJK), list(IJK), "left_anti").select(*IJK, F.lit(1.0).alias("value"), F.lit(True).alias("active")), 0.0)
 
 
-def skin(g: Grid) -> DataFrame:
-    """(i, j, k, inner): active voxels with an inactive face neighbour, and those neighbours."""
+def skin(g: Grid, tasks: int | None = None) -> DataFrame:
+    """(i, j, k, inner): active voxels with an inactive face neighbour, and those neighbours; dealt out over ``tasks``."""
+    on = g.on.select(*IJK)
+    tasks = tasks or tasks_for(on, on.count() * len(FACES))
+    on = dealt(on, tasks)
     sent = F.inline(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)]) for o in FACES]))
-    beside = g.on.select(*[F.col(c).alias(f"o{c}") for c in IJK], sent).select(*[(F.col(f"o{c}") + F.col(f"d{c}")).alias(c) for c in IJK], *[f"o{c}" for c in IJK])
-    out = beside.join(g.on.select(*IJK), list(IJK), "left_anti")
-    inner = out.select(*[F.col(f"o{c}").alias(c) for c in IJK]).distinct().withColumn("inner", F.lit(True))
+    beside = on.select(*[F.col(c).alias(f"o{c}") for c in IJK], sent).select(*[(F.col(f"o{c}") + F.col(f"d{c}")).alias(c) for c in IJK], *[f"o{c}" for c in IJK])
+    out = dealt(beside, tasks).join(on, list(IJK), "left_anti")
+    inner = dealt(out.select(*[F.col(f"o{c}").alias(c) for c in IJK]), tasks).distinct().withColumn("inner", F.lit(True))
     return inner.unionByName(out.select(*IJK).distinct().withColumn("inner", F.lit(False)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.model import Grid
-from gridloom.operators import stencil
+from gridloom.operators import stencil, surface
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,19 @@ def test_closing_in_many_tasks(spark, grid, spots, near, monkeypatch):
     assert opened == set().union(*(moved(s, around) for s in kept if moved(s, around) <= kept))
 
 
+def test_level_set_of_a_mask_in_many_tasks(spark, grid, spots, monkeypatch):
+    monkeypatch.setattr(stencil, "SENT", 10000, raising=False)
+    found = surface.of_mask(grid, 2).df
+    ball = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if i * i + j * j + k * k <= 4]
+    asked = {}
+    for s in set().union(*(moved(s, ball) for s in spots)):
+        away = [sum(x * x for x in o) ** 0.5 for o in ball if (tuple(map(sum, zip(s, o))) in spots) != (s in spots)]
+        if away:
+            asked[s] = 0.5 - min(away) if s in spots else min(away) - 0.5
+    assert {tuple(x)[:3]: x["value"] for x in found.collect()} == pytest.approx(asked)
+    assert len(rows_of_tasks(found)) > 10
+
+
 def test_nothing_to_grow(spark, grid):
     empty = Grid(grid.df.limit(0))
-    assert stencil.closed(empty).df.count() == stencil.dilate(empty).df.count() == stencil.erode(empty).df.count() == 0
+    assert stencil.closed(empty).df.count() == stencil.dilate(empty).df.count() == stencil.erode(empty).df.count() == surface.of_mask(empty).df.count() == 0
