@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.model import IJK, Grid
 from gridloom.operators.stencil import EDGES, FACES, Offset, gather, gradient, name
-from gridloom.operators.tree import _forget, _written
+from gridloom.operators.tree import _forget, _written, segments
 
 #: What the neighbour that a voxel lacks at an offset adds to its right side and to its diagonal.
 Terms = Callable[[Offset], tuple[Column, Column]]
@@ -129,15 +129,34 @@ def _depth(rows: DataFrame) -> int:
     return depth
 
 
+def _balanced(state: DataFrame) -> DataFrame:
+    """The system's rows, with the mean taken off the right side in parts of the domain without any value beyond them.
+
+    Such a part has a solution only if its right side sums to 0; the rest of it can't be met by any, and would grow in
+    the rounds. Where each side of the domain has a value, no part is searched for.
+    """
+    beside = reduce(Column.__add__, map(F.col, W))
+    if state.where((beside < len(FACES)) & (F.col("diag") - beside < len(FACES) - beside)).isEmpty():
+        return state
+    parts = segments(Grid(state.select(*IJK, F.lit(1.0).alias("value"), F.lit(True).alias("active")))).select(*IJK, F.struct("si", "sj", "sk").alias("part"))
+    parted = _written(state.join(parts, list(IJK)))
+    free = parted.groupBy("part").agg(F.max(F.col("diag") - beside).alias("held"), F.avg("r").alias("mean")).where("held <= 1e-9D and mean <> 0").select("part", "mean")
+    out = _written(parted.join(free, "part", "left").withColumn("r", F.col("r") - F.coalesce("mean", F.lit(0.0))).select(*state.columns))
+    _forget(parted)
+    _forget(state)
+    return out
+
+
 def solved(rows: DataFrame, terms: Terms | None = None, tolerance: float = 1e-6, rounds: int = 200, largest: float = float("inf")) -> Solution:
     """laplacian = value on a domain of rows (i, j, k, value, others), with terms for neighbours that the domain lacks.
 
     The stencil has the six faces (samples staggered). Without terms the solution is 0 beyond the domain. A part of the
-    domain without any value beyond it has a solution up to a constant if its right side sums to 0, else none: rounds
-    then end at ``rounds``. Ends when the residual's length is ``tolerance`` of the right side's and at most ``largest``, which
+    domain without any value beyond it has a solution up to a constant if its right side sums to 0, else none: it then
+    gets that of its right side less the mean. Ends when the residual's length is ``tolerance`` of the right side's and at most ``largest``, which
     bounds every equation's error whatever the size of the values; the rounds hardly grow with the domain. A round writes two tables to the shared folder; the driver sees three sums.
     """
     state = _written(system(rows, terms or dirichlet()).select(*IJK, *MATRIX, F.lit(0.0).alias("x"), F.col("b").alias("r"), F.lit(0.0).alias("p")))
+    state = _balanced(state)
     length = F.sum(F.col("r") * F.col("r"))
     start = left = state.agg(length).first()[0] or 0.0
     depth, done, rho, table = _depth(state) if start else 0, 0, None, state

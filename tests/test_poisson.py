@@ -133,3 +133,14 @@ def test_large_values_meet_an_error_of_fixed_size(spark):
     x = poisson.solved(rows, poisson.dirichlet(), 1e-5, largest=0.02).grid
     worst = poisson.applied(rows, poisson.dirichlet(), x).selectExpr("max(abs(left - right))").first()[0]
     assert worst < 0.05
+
+
+def test_a_pocket_without_a_solution_does_not_hold_up_the_rest(spark):
+    """A pair of walled-off voxels whose slopes don't sum to 0, beside a bar that is held at its sides."""
+    at = [(n, 0, 0) for n in range(5)] + [(9, 0, 0), (10, 0, 0)]
+    rows = spark.createDataFrame([(*a, 1.0, a[0] > 8) for a in at], "i int, j int, k int, value double, free boolean")
+    terms = lambda o: (F.when(F.col("free"), 0.0).otherwise(-1.0), F.when(F.col("free"), 0.0).otherwise(-1.0))
+    s = poisson.solved(rows, terms, 1e-9)
+    assert s.rounds < 20 and s.error <= 1e-9
+    met = {x["i"]: abs(x["left"] - x["right"]) for x in poisson.applied(rows, terms, s.grid).collect()}
+    assert all(met[n] < 1e-6 for n in range(5)) and abs(met[9] - 1.0) < 1e-6
