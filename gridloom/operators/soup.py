@@ -16,14 +16,14 @@ voxel on a triangle has distance 0; triangles without area count as their edges;
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.model import IJK, LEAF, Grid
-from gridloom.operators.band import staged
 from gridloom.operators.stencil import CUBE
-from gridloom.operators.surface import _descended, foot
+from gridloom.operators.surface import nearest
 from gridloom.operators.tree import _forget, _written, segments
 
 #: Half the diagonal of a voxel.
@@ -73,13 +73,13 @@ def exterior(cells: DataFrame) -> DataFrame:
 
 def level_set(triangles: DataFrame, half: float = 3.0) -> Grid:
     """Narrow band of triangles (ax ... ez, cx, cy, cz), negative where the outside doesn't reach."""
-    reach = max(half, 3.0)
-    rows = staged(_descended(triangles, reach), foot())
-    near = rows.groupBy(*IJK).agg(F.min(F.struct("d", "fx", "fy", "fz")).alias("best"))
-    band = _written(near.select(*IJK, "best.*").where(F.col("d") < reach))
-    outside = _written(exterior(band.select(*IJK, (F.col("d") < WALL).alias("wall"))))
-    # Voxels of the wall ask their neighbours.
+    band = _written(nearest(triangles, max(half, WALL)))
     wall = band.where(F.col("d") < WALL)
+    # Leaves of the wall's neighbours are spelt out, too: a leaf around a voxel holds one of its corners.
+    around = F.inline(F.array(*[F.struct(*[(F.col(c) + x).alias(f"n{c}") for c, x in zip(IJK, o)]) for o in product((-1, 1), repeat=3)]))
+    beside = wall.select(around).select(*[F.col(f"n{c}").alias(c) for c in IJK], F.lit(False).alias("wall"))
+    outside = _written(exterior(band.select(*IJK, (F.col("d") < WALL).alias("wall")).unionByName(beside)))
+    # Voxels of the wall ask their neighbours.
     sent = F.inline(F.array(*[F.struct(*[F.lit(x).alias(f"d{c}") for c, x in zip(IJK, o)]) for o in CUBE]))
     asked = wall.select(F.struct(*IJK).alias("own"), "fx", "fy", "fz", *IJK, sent)
     ahead = reduce(Column.__add__, [(F.col(c) + F.col(f"d{c}") - F.col(f"f{x}")) * (F.col(c) - F.col(f"f{x}")) for c, x in zip(IJK, "xyz")])

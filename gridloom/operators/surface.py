@@ -7,9 +7,11 @@ voxels of their boxes only, and the least of a voxel is found before the shuffle
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,17 @@ from gridloom.model import IJK, Grid
 from gridloom.operators.stencil import FACES, dealt, surface_mask, tasks_for
 from gridloom.operators.tree import _written
 from gridloom.operators.values import skin
+from gridloom.workers import ready
 
 CORNERS = list(product((0, 1), repeat=3))
 #: Pairs of corners that an edge of a cell joins.
 EDGES = [(a, b) for a in CORNERS for b in CORNERS if a < b and sum(x != y for x, y in zip(a, b)) == 1]
 
+#: What a voxel knows of its nearest place.
+NEAREST = [*IJK, "d", "fx", "fy", "fz"]
+#: Bits of the edge of nodes that tasks spell out; voxels that they make at once, and rows of ``NEAREST`` that they hold.
+NODE, PORTION, HELD = 4, 1 << 16, 1 << 18
+
 
 def corner(o: tuple[int, int, int]) -> str:
     return "c" + "".join(map(str, o))
@@ -88,9 +96,11 @@ def _boxed(rows: DataFrame, points: str, reach: Column) -> DataFrame:
     return rows.withColumns({f"p{a}": F.col(c).cast("double") for c, a in zip(IJK, "xyz")})
 
 
-def _descended(triangles: DataFrame, reach: float) -> DataFrame:
+def _descended(triangles: DataFrame, reach: float, least: int = 0) -> DataFrame:
     """Triangles (ax ... cz) with the voxels within ``reach`` of them as px, py, pz, and few others.
 
+    With ``least`` of 4 they are nodes of 16 voxels a side, numbered by i, j, k, that hold such voxels.
+
     Nodes of 256 voxels a side that a triangle's box meets are opened into nodes of 16 and these into voxels, each where
     its middle is near the triangle's plane and not far beyond one of its edges. So a triangle gives as many voxels as are
     near it, however large its box is. Triangles without area have no plane and give the voxels of their box. Triangles
@@ -116,7 +126,7 @@ def _descended(triangles: DataFrame, reach: float) -> DataFrame:
         far = reach + middle * 3**0.5
         rows = rows.withColumns({f"p{x}": (F.shiftleft(c, bits) + middle).cast("double") for c, x in zip(IJK, "xyz")})
         rows = rows.where((F.abs(beyond("_n", "a")) <= far) & (beyond("_o0", "a") <= far) & (beyond("_o1", "e") <= far) & (beyond("_o2", "c") <= far))
-        if not bits:
+        if bits == least:
             return rows.drop(*[n for n in rows.columns if n[0] == "_"])
         bits -= step
         for c in IJK:
@@ -124,29 +134,109 @@ def _descended(triangles: DataFrame, reach: float) -> DataFrame:
             rows = rows.where(first <= last).withColumn(c, F.explode(F.sequence(first, last)))
 
 
-def foot() -> list[dict[str, str]]:
-    """Columns fx, fy, fz: the point of triangle a, e, c that is nearest to p, and its distance ``d``."""
-    dot = lambda u, v: " + ".join(f"{u}{x} * {v}{x}" for x in "xyz")
-    ways = {f"{n}{x}": f"{b}{x} - {a}{x}" for n, a, b in (("u", "a", "e"), ("v", "a", "c"), ("w", "a", "p"), ("s", "e", "c"), ("r", "e", "p")) for x in "xyz"}
-    sums = {"uu": dot("u", "u"), "uv": dot("u", "v"), "vv": dot("v", "v"), "wu": dot("w", "u"), "wv": dot("w", "v"), "ss": dot("s", "s"), "rs": dot("r", "s")}
-    part = lambda x, y: f"least(greatest({x} / greatest({y}, cast(1e-300 as double)), cast(0 as double)), cast(1 as double))"
-    parts = {"area": "uu * vv - uv * uv", "t0": part("wu", "uu"), "t1": part("wv", "vv"), "t2": part("rs", "ss")}
-    inner = {"g": "case when area > 0 then (vv * wu - uv * wv) / greatest(area, cast(1e-300 as double)) else -1 end", "h": "case when area > 0 then (uu * wv - uv * wu) / greatest(area, cast(1e-300 as double)) else -1 end"}
-    feet = {f"{n}{x}": f"{a}{x} + t{n[1]} * {way}{x}" for n, a, way in (("k0", "a", "u"), ("k1", "a", "v"), ("k2", "e", "s")) for x in "xyz"}
-    feet |= {f"k3{x}": f"a{x} + g * u{x} + h * v{x}" for x in "xyz"}
-    far = {f"d{n}": " + ".join(f"(p{x} - k{n}{x}) * (p{x} - k{n}{x})" for x in "xyz") for n in range(4)}
-    choice = {"pick": "case when g >= 0 and h >= 0 and g + h <= 1 then 3 when d0 <= d1 and d0 <= d2 then 0 when d1 <= d2 then 1 else 2 end"}
-    chosen = lambda e: "case pick " + " ".join(f"when {n} then {e.format(n)}" for n in range(4)) + " end"
-    return [ways, sums, parts, inner, feet, far, choice, {"d": f"sqrt({chosen('d{}')})", **{f"f{x}": chosen("k{}" + x) for x in "xyz"}}]
+def _foot(p: np.ndarray, a: np.ndarray, e: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of points to triangles a, e, c, and the points of these that are nearest; all are arrays of (3, rows)."""
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    part = lambda x, y: np.clip(x / np.maximum(y, 1e-300), 0.0, 1.0)
+    u, v, w, s, r = e - a, c - a, p - a, c - e, p - e
+    uu, uv, vv, wu, wv = dot(u, u), dot(u, v), dot(v, v), dot(w, u), dot(w, v)
+    area = uu * vv - uv * uv
+    g, h = (np.where(area > 0, x / np.maximum(area, 1e-300), -1.0) for x in (vv * wu - uv * wv, uu * wv - uv * wu))
+    d, foot = None, None
+    for to in (a + part(wu, uu) * u, a + part(wv, vv) * v, e + part(dot(r, s), dot(s, s)) * s):
+        far = dot(p - to, p - to)
+        d, foot = (far, to) if d is None else (np.where(far < d, far, d), np.where(far < d, to, foot))
+    inner, to = (g >= 0) & (h >= 0) & (g + h <= 1), a + g * u + h * v
+    return np.sqrt(np.where(inner, dot(p - to, p - to), d)), np.where(inner, to, foot)
+
+
+def _spelt(nodes: np.ndarray, corners: np.ndarray, reach: float):
+    """Voxels of nodes near the planes of their triangles, in portions: (3, rows), and the number of each one's triangle."""
+    wide = reach + 1e-6
+    first = np.maximum(nodes << NODE, np.ceil(corners.min(0) - wide).astype(np.int64))
+    last = np.minimum((nodes << NODE) + (1 << NODE) - 1, np.floor(corners.max(0) + wide).astype(np.int64))
+    size = np.maximum(last - first + 1, 0)
+    many = size.prod(0)
+    normal = np.cross(corners[1] - corners[0], corners[2] - corners[0], axis=0)
+    far = wide * np.sqrt((normal * normal).sum(0))
+    ends = np.cumsum(many)
+    start = 0
+    while start < len(many):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - many[start] + PORTION, "right")))
+        of = np.repeat(np.arange(start, end), many[start:end])
+        n = np.arange(len(of)) - np.repeat(ends[start:end] - many[start:end] - (ends[start] - many[start]), many[start:end])
+        n, k = np.divmod(n, size[2, of])
+        i, j = np.divmod(n, size[1, of])
+        at = first[:, of] + np.stack([i, j, k])
+        near = np.abs((normal[:, of] * (at - corners[0][:, of])).sum(0)) <= far[of]
+        yield at[:, near], of[near]
+        start = end
+
+
+def _least(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Of rows of ``NEAREST`` the least of each voxel."""
+    rows = [np.concatenate(x) for x in zip(*parts)]
+    low = [int(x.min()) for x in rows[:3]]
+    long = [int(x.max()) - m + 1 for x, m in zip(rows, low)]
+    if long[0] * long[1] * long[2] < 1 << 62:
+        key = ((rows[0] - low[0]) * long[1] + rows[1] - low[1]) * long[2] + rows[2] - low[2]
+    else:
+        key = np.unique(np.stack(rows[:3]), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(key)
+    key, rows = key[order], [x[order] for x in rows]
+    for n in (*range(3, len(rows)), None):
+        starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        if n is None or len(starts) == len(key):
+            return [x[starts] for x in rows]
+        keep = rows[n] == np.repeat(np.minimum.reduceat(rows[n], starts), np.diff(np.append(starts, len(key))))
+        key, rows = key[keep], [x[keep] for x in rows]
+
+
+def _nearest(batches, reach: float):
+    """Nodes of triangles as each voxel's nearest place nearer than ``reach``, ties by coordinates.
+
+    Rows are held until there are so many that a task sends the least of each voxel on.
+    """
+    held, count = [], 0
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n < 3 else pa.float64()) for n, x in enumerate(rows)], names=NEAREST)
+
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            corners = np.stack([[column(p + x) for x in "xyz"] for p in "aec"])
+            for at, of in _spelt(np.stack([column(c) for c in IJK]).astype(np.int64), corners, reach):
+                d, foot = _foot(at.astype(float), *[c[:, of] for c in corners])
+                near = d < reach
+                held.append([*at[:, near], d[near], *foot[:, near]])
+                count += len(held[-1][0])
+                if count > HELD:
+                    held = [_least(held)]
+                    count = len(held[0][0])
+                    if count > HELD // 2:
+                        yield told(held.pop())
+                        count = 0
+    if count:
+        yield told(_least(held))
+
+
+def nearest(triangles: DataFrame, reach: float) -> DataFrame:
+    """(i, j, k, d, fx, fy, fz): voxels nearer than ``reach`` to triangles (ax ... cz), and their nearest place on them.
+
+    Equal triangles count once. Tasks spell out the voxels of a triangle's nodes in arrays, as Spark's code for distances
+    as columns is too long to be compiled, and send on one row for each voxel of many triangles.
+    """
+    ready(triangles.sparkSession)
+    names = [p + x for p in "aec" for x in "xyz"]
+    nodes = _descended(triangles.select(*[F.col(n).cast("double").alias(n) for n in names]).distinct(), reach + 1e-6, NODE)
+    found = nodes.select(*IJK, *names).mapInArrow(partial(_nearest, reach=reach), ", ".join(f"{n} {'int' if n in IJK else 'double'}" for n in NEAREST))
+    return found.groupBy(*IJK).agg(F.min(F.struct(*NEAREST[3:])).alias("best")).select(*IJK, "best.*")
 
 
 def mesh_distance(triangles: DataFrame, half: float = 3.0) -> Grid:
     """Unsigned distances to triangles (ax ... ez, cx, cy, cz) in a band around them."""
-    rows = _descended(triangles, half)
-    for stage in foot():
-        rows = rows.selectExpr("*", *[f"{e} as {n}" for n, e in stage.items()])
-    near = rows.groupBy(*IJK).agg(F.min("d").alias("value"))
-    return Grid(near.where(F.col("value") < half).withColumn("active", F.lit(True)), half)
+    return Grid(nearest(triangles, half).select(*IJK, F.col("d").alias("value"), F.lit(True).alias("active")), half)
 
 
 def tubes(segments: DataFrame, half: float = 3.0) -> Grid:

@@ -5,6 +5,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from gridloom.model import grid
 from gridloom.operators import soup, surface
 
@@ -101,3 +102,50 @@ def test_signs_by_flood(spark):
     g = grid(spark.createDataFrame(rows, "i int, j int, k int, value double, active boolean"), 3.0)
     got = {(r.i, r.j, r.k): (r.value, r.active) for r in soup.flooded_signs(g).df.collect()}
     assert got == {(i, j, k): (v if on else math.copysign(3.0, d[i, j, k]), on) for i, j, k, v, on in rows}
+
+
+def spelt(df):
+    """Rows that the explosions of a query's plan have made, once it has run."""
+    df.collect()
+    waiting, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif kind == "GenerateExec":
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        waiting += [children.apply(n) for n in range(children.size())]
+    return rows
+
+
+def test_triangles_go_to_tasks_by_nodes_and_copies_once(spark):
+    """Rows that Spark makes of small triangles are some for each of them, not one for each of their voxels."""
+    rng = np.random.default_rng(8)
+    some = [tuple(float(v) for v in np.tile(rng.uniform(6, 9, 3), 3) + rng.uniform(-1, 1, 9)) for _ in range(300)]
+    once = surface.mesh_distance(spark.createDataFrame(some, NAMES), 3.0).df
+    assert 0 < spelt(once) < 30 * len(some)
+    copies = surface.mesh_distance(spark.createDataFrame(some * 5, NAMES), 3.0).df
+    assert spelt(copies) == spelt(once) and sorted(copies.collect()) == sorted(once.collect())
+
+
+def test_a_task_sends_the_least_of_each_voxel(monkeypatch):
+    """In portions of any size, with ties, and with voxels too far apart for one number."""
+    names = [p + a for p in "aec" for a in "xyz"]
+    rng = np.random.default_rng(9)
+    flat = np.concatenate([rng.integers(1, 14, (60, 9)).astype(float), np.tile([2e9, -2e9, 2e9], (4, 3)) + rng.integers(1, 7, (4, 9))])
+    nodes = np.floor(flat.reshape(-1, 3, 3).mean(1) / 16).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, nodes.T), *map(pa.array, flat.T)], names=["i", "j", "k", *names])
+    told = lambda parts: sorted(t for b in surface._nearest(iter(parts), 2.0) for t in zip(*b.to_pydict().values()))
+    whole = told([batch, batch])
+    assert len({t[:3] for t in whole}) == len(whole) > 1000 and min(t[0] for t in whole) >= 0 and max(t[0] for t in whole) > 1e9
+    monkeypatch.setattr(surface, "PORTION", 100)
+    assert told([batch, batch]) == whole
+    monkeypatch.setattr(surface, "HELD", 500)
+    parts = {}
+    for t in told([batch.slice(n, 1) for n in range(batch.num_rows)]):
+        parts[t[:3]] = min(parts.get(t[:3], t), t)
+    assert sorted(parts.values()) == whole
