@@ -225,12 +225,15 @@ def nearest(triangles: DataFrame, reach: float) -> DataFrame:
     """(i, j, k, d, fx, fy, fz): voxels nearer than ``reach`` to triangles (ax ... cz), and their nearest place on them.
 
     Equal triangles count once. Tasks spell out the voxels of a triangle's nodes in arrays, as Spark's code for distances
-    as columns is too long to be compiled, and send on one row for each voxel of many triangles.
+    as columns is too long to be compiled. Nodes come sorted, so a task's triangles share voxels and it sends on one row
+    for each of these; a node of many triangles is shared out.
     """
     ready(triangles.sparkSession)
     names = [p + x for p in "aec" for x in "xyz"]
     nodes = _descended(triangles.select(*[F.col(n).cast("double").alias(n) for n in names]).distinct(), reach + 1e-6, NODE)
-    found = nodes.select(*IJK, *names).mapInArrow(partial(_nearest, reach=reach), ", ".join(f"{n} {'int' if n in IJK else 'double'}" for n in NEAREST))
+    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = nodes.select(*IJK, *names).repartitionByRange(tasks, *IJK, F.xxhash64(*names)).sortWithinPartitions(*IJK)
+    found = sorted_.mapInArrow(partial(_nearest, reach=reach), ", ".join(f"{n} {'int' if n in IJK else 'double'}" for n in NEAREST))
     return found.groupBy(*IJK).agg(F.min(F.struct(*NEAREST[3:])).alias("best")).select(*IJK, "best.*")
 
 
