@@ -233,9 +233,13 @@ def flow_equation(domain: Grid, wall: DataFrame) -> tuple[DataFrame, Terms]:
     return rows, terms
 
 
-def potential(domain: Grid, wall: DataFrame, tolerance: float = 1e-6, rounds: int = 200) -> Solution:
-    """The scalar potential whose slope at walls is the wall's velocity."""
-    return solved(*flow_equation(domain, wall), tolerance, rounds)
+def potential(domain: Grid, wall: DataFrame, tolerance: float = 1e-6, rounds: int = 200, largest: float = float("inf")) -> Solution:
+    """The scalar potential whose slope at walls is the wall's velocity. Ends as :func:`solved` does.
+
+    A part of the domain with walls all around has a potential only if what flows in flows out; else its equations stay
+    unmet by the mean of their right sides, which is the least that any potential can reach in all of them at once.
+    """
+    return solved(*flow_equation(domain, wall), tolerance, rounds, largest)
 
 
 def flow(potential: Grid, wall: DataFrame, wind: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

@@ -85,7 +85,7 @@ def flow_walls(spark, d):
 )
 def flow_potential(spark, d):
     domain, wall = _walls(spark, d)
-    found = poisson.applied(*poisson.flow_equation(domain, wall), poisson.potential(domain, wall, 1e-4).grid)
+    found = poisson.applied(*poisson.flow_equation(domain, wall), poisson.potential(domain, wall, 1e-4, largest=0.02).grid)
     return shown(found.select("i", "j", "k", "right", (F.abs(F.col("left") - F.col("right")) < 0.05).alias("met")), 4)
 
 

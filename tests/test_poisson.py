@@ -4,6 +4,7 @@ import numpy as np
 from gridloom.model import IJK, Grid, grid
 from gridloom.operators import levelset, poisson
 from gridloom.operators.stencil import FACES
+from gridloom.plans import poisson as plans
 from pyspark.sql import functions as F
 
 
@@ -144,3 +145,12 @@ def test_a_pocket_without_a_solution_does_not_hold_up_the_rest(spark):
     assert s.rounds < 20 and s.error <= 1e-9
     met = {x["i"]: abs(x["left"] - x["right"]) for x in poisson.applied(rows, terms, s.grid).collect()}
     assert all(met[n] < 1e-6 for n in range(5)) and abs(met[9] - 1.0) < 1e-6
+
+
+def test_the_potentials_query_meets_its_right_sides_in_a_strong_wind(spark, monkeypatch):
+    """Its bound is of a fixed size, as the right side's length grows with the domain and the wind."""
+    monkeypatch.setattr(plans, "ball", lambda spark, d: levelset.sphere(spark, 22, (10.5, 10.5, 10.5), 7.0, 1.6))
+    monkeypatch.setattr(plans, "WIND", (1.5e4, 0.5e4, -0.25e4))
+    got = plans.flow_potential(spark, "").collect()
+    assert len(got) > poisson.COARSEST and all(r.met for r in got)
+    assert max(abs(r.right) for r in got) > 1e4
